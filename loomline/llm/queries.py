@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, sharding, simhash, warc
+from . import langid, mixing, packing, sharding, simhash, warc
 from .common import table, text_bytes
 
 
+def op1_byte_convnet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.revisit_digest(warc.resolve(warc.page_records(spark, sf_dir)))
 
@@ -42,8 +46,11 @@ def op10_efraimidis_spirakis(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_byte_convnet": op1_byte_convnet,
         "op2_revisits": op2_revisits,
         "op3_sampled_splitters": op3_sampled_splitters,
+        "op6_first_fit_decreasing": op6_first_fit_decreasing,
+        "op8_simhash": op8_simhash,
         "op10_efraimidis_spirakis": op10_efraimidis_spirakis,
     }
 
