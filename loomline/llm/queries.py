@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, sharding, simhash, warc
+from . import langid, lz_fingerprint, mixing, packing, sharding, simhash, warc
 from .common import table, text_bytes
 
 
@@ -40,6 +40,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
 
+def op9_lempel_ziv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lz_fingerprint.fingerprint(table(spark, sf_dir, "documents"))
+
+
 def op10_efraimidis_spirakis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sampled_splitters": op3_sampled_splitters,
         "op6_first_fit_decreasing": op6_first_fit_decreasing,
         "op8_simhash": op8_simhash,
+        "op9_lempel_ziv": op9_lempel_ziv,
         "op10_efraimidis_spirakis": op10_efraimidis_spirakis,
     }
 
