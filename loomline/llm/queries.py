@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm_bloom, lz_fingerprint, mixing, packing, sharding, simhash, warc
+from . import langid, lm_bloom, lz_fingerprint, mixing, packing, sharding, simhash, suffix_dedup, warc
 from .common import table, text_bytes
 
 
@@ -32,6 +32,10 @@ def op3_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", none)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_bloom.score(table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_byte_convnet": op1_byte_convnet,
         "op2_revisits": op2_revisits,
         "op3_sampled_splitters": op3_sampled_splitters,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_bloom_lm": op5_bloom_lm,
         "op6_first_fit_decreasing": op6_first_fit_decreasing,
         "op8_simhash": op8_simhash,
