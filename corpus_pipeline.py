@@ -2,17 +2,84 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomline.llm import langid, mixing, packing, simhash, suffix_dedup
+from loomline.llm.common import checkpoint, remove, shared_folder, written
+
+
+def _key() -> Column:
+    """A row among others of its id."""
+    return F.struct(F.col("doc_id"), F.xxhash64("text").alias("h")).alias("_key")
+
+
+def _with_key(docs: DataFrame) -> DataFrame:
+    return docs.select(F.struct("*").alias("_row"), _key())
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in no language: null texts and those without a letter."""
+    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("text"))
+    judged = langid.predict(rows, langid.fit(docs), keep=[F.col("_row")])
+    return judged.where(F.col("lang_pred") != langid.UNKNOWN).select("_row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest id of each SimHash component, once.
+
+    Null ids come first. Of rows of that id in the component the least by hash of the text stays.
+    """
+    classes = simhash.near_components(docs.select(_key(), "text"), ident="_key")
+    heads = classes.where(F.col("_key") == F.col("component_id")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
+    kept = _with_key(docs).join(heads, "_key")
+    once, several = kept.where("_n = 1"), kept.where("_n > 1").dropDuplicates(["_key"])
+    return once.unionByName(several).select("_row.*")
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes every 200-byte string that stands more than once, and with it documents left without a word."""
+    left = suffix_dedup.remove_repeats(docs).where(mixing.word_count() > 0)
+    return left.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as many times as the mix takes it."""
+    taken = mixing.mix(docs.select(_key(), "source", "text"), ident="_key", whole_documents=True)
+    copies = taken.where("size > 0").groupBy("_key").agg((F.sum("taken") / F.sum("size")).cast("int").alias("_copies"))
+    rows = _with_key(docs).join(copies.where("_copies > 0"), "_key")
+    return rows.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("_copies")))).select("_row.*")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents' token ids and their places in sequences."""
+    return packing.pack(docs, tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeated_passages", drop_repeated_passages),
+    ("mix", mix_sources),
+    ("pack", pack_sequences),
+]
 
 #: Language prediction, SimHash components, suffix sorting and tokenisation cannot be put in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    folder, before = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
+    packed = checkpoint(STAGES[-1][1](spark, docs, sf_dir))
+    remove(spark, folder)
+    return packed

@@ -31,7 +31,7 @@ def passages():
     rows = [say(150) + shared + say(100) for _ in range(6)]
     rows += [other + say(40), say(30) + other, shared, shared[:150], say(90) + other + say(10) + other]
     rows += ["a" * 450, "b" * 199, "c" * 200, "ab" * 180, say(40) + "a" * 230]
-    return [(100 + i, t, "en", "s", 1) for i, t in enumerate(rows)]
+    return [(500 + i, t, "en", "s", 1) for i, t in enumerate(rows)]
 
 
 @pytest.mark.parametrize("hot", [2000, 3])
