@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm_bloom, lz_fingerprint, mixing, packing, sharding, simhash, suffix_dedup, warc
+from . import langid, lm_bloom, lz_fingerprint, mixing, nn_descent, packing, sharding, simhash, suffix_dedup, warc
 from .common import table, text_bytes
 
 
@@ -44,6 +44,10 @@ def op6_first_fit_decreasing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path=public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_components(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_bloom_lm": op5_bloom_lm,
         "op6_first_fit_decreasing": op6_first_fit_decreasing,
+        "op7_nn_descent": op7_nn_descent,
         "op8_simhash": op8_simhash,
         "op9_lempel_ziv": op9_lempel_ziv,
         "op10_efraimidis_spirakis": op10_efraimidis_spirakis,
