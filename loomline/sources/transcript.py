@@ -82,7 +82,7 @@ def changelog(spark: SparkSession, path: str) -> DataFrame:
         "position",
         F.left(heading, F.lit(10)).alias("date"),
         F.trim(F.substring(heading, 11, 1 << 20)).alias("title"),
-        F.trim(F.regexp_replace("part", r"^[^\n]*\n?", "")).alias("notes"),
+        F.regexp_replace("part", r"^[^\n]*\n?\s*|\s+$", "").alias("notes"),
     )
 
 
