@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,30 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def key_filter(keys: DataFrame, column: str) -> Callable[[Column], Column]:
+    """A test that is true for every long of ``keys``, and for few others: a hashed bit set.
+
+    It keeps rows that cannot match from being shuffled for a join; the join itself decides. The
+    set has 16 bits a key and at most 2^27 (16 MiB), beyond which it lets more through.
+    """
+    spark = keys.sparkSession
+    size = 1 << max(16, min(27, (16 * max(1, keys.count()) - 1).bit_length()))
+    at = F.pmod(F.xxhash64(F.lit(11), column), F.lit(size))
+    words = keys.select(F.shiftright(at, 6).alias("w"), at.bitwiseAND(F.lit(63)).cast("int").alias("b"))
+    words = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v"))
+    bits = np.zeros(size // 64, np.int64)
+    for r in words.toLocalIterator():
+        bits[r["w"]] = r["v"]
+    shared = spark.sparkContext.broadcast(bits)
+
+    @F.pandas_udf("boolean")
+    def held(place: pd.Series) -> pd.Series:
+        n = place.to_numpy()
+        return pd.Series((shared.value[n >> 6] >> (n & 63)) & 1 == 1)
+
+    return lambda key: held(F.pmod(F.xxhash64(F.lit(11), key), F.lit(size)))
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of an id written as text, modulo ``modulus``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -12,6 +12,7 @@ all, and each is covered from end to end.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONG_MIN, checkpoint, prepare, text_bytes
+from .common import LONG_MIN, checkpoint, key_filter, prepare, remove, shared_folder, text_bytes, written
 
 WINDOW = 200
 GRAM = 40
@@ -28,7 +29,7 @@ PART = 1 << 19
 #: Bytes of segments that are sorted together.
 SORT_BYTES = 2 << 20
 #: Occurrences of one anchor that are compared as segments; those of a more frequent one are dealt by whole windows.
-HOT = 2000
+HOT = 8000
 SEPARATOR = b"\xff"
 
 _rng = np.random.default_rng(4)
@@ -249,20 +250,21 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = list(zip(*found)) if found else [[], [], []]
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[1:])], ["_key", "a", "b"])
 
+    last = 0  # where the rows of the last anchor begin
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and row[0] != rows[-1][0]:
+                last = len(rows)
             rows.append(row)
             size += len(row[3])
-            if size < SORT_BYTES:
-                continue
-            whole = next((i for i in range(len(rows) - 1, 0, -1) if rows[i][0] != rows[i - 1][0]), 0)
-            if whole:
-                yield out(rows[:whole])
-                rows = rows[whole:]
+            if size >= SORT_BYTES and last:
+                yield out(rows[:last])
+                rows, last = rows[last:], 0
+                size = sum(len(r[3]) for r in rows)
             elif size >= 8 * SORT_BYTES:
                 yield out(rows)
                 rows = rows[:1]
-            size = sum(len(r[3]) for r in rows)
+                size = len(rows[0][3])
     if rows:
         yield out(rows)
 
@@ -313,20 +315,24 @@ def _removals(docs: DataFrame, ident: str, text: str, keep_text: bool) -> tuple[
     long = rows.where(F.octet_length("_text") >= WINDOW)
 
     marks = long.mapInArrow(_anchor_rows, "anchor long, _id long, _key long, low int, high int")
-    marks = checkpoint(marks)
-    place = F.xxhash64("_key", "low")
+    folder = f"{shared_folder(spark)}/anchors-{uuid.uuid4().hex}"
+    marks = written(marks, folder)
+    place = F.shiftright(F.xxhash64("_key", "low"), 16)
     shared = marks.groupBy("anchor").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.count(F.lit(1)).alias("n"))
     shared = shared.where(F.col("p") != F.col("q")).select("anchor", (F.col("n") > HOT).alias("hot"))
-    marks = marks.join(shared, "anchor").groupBy("_key", "low", "high", "anchor", "hot").agg(F.min("_id").alias("_id"))
-    per_text = marks.groupBy("_id", "_key").agg(F.collect_list(F.struct("anchor", "low", "high", "hot")).alias("marks"))
+    found = marks.join(shared, "anchor").groupBy("_key", "low", "high", "anchor", "hot").agg(F.min("_id").alias("_id"))
+    per_text = checkpoint(found.groupBy("_id", "_key").agg(F.collect_list(F.struct("anchor", "low", "high", "hot")).alias("marks")))
+    remove(spark, folder)
 
-    segments = long.join(per_text, ["_id", "_key"]).select("_key", "_text", "marks")
+    may_share = key_filter(per_text.select("_key"), "_key")
+    segments = long.where(may_share(F.col("_key"))).join(per_text, ["_id", "_key"]).select("_key", "_text", "marks")
     segments = segments.mapInArrow(_cut, "anchor long, _key long, low int, segment binary")
     ranges = segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort, "_key long, a int, b int")
-    ranges = checkpoint(ranges)
-    ranges = ranges.groupBy("_key").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     single = copies.where("copies = 1").select("_key")
-    lost = long.join(ranges.join(single, "_key"), "_key").select("_key", "_text", "ranges")
+    ranges = ranges.groupBy("_key").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    ranges = checkpoint(ranges.join(single, "_key"))
+    may_lose = key_filter(ranges.select("_key"), "_key")
+    lost = long.where(may_lose(F.col("_key"))).join(ranges, "_key").select("_key", "_text", "ranges")
     lost = lost.mapInArrow(_remove, "_key long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return light.join(copies, "_key"), lost if keep_text else lost.drop("kept")
 
@@ -360,8 +366,13 @@ def remove_repeats(docs: DataFrame, *, ident: str = "doc_id", text: str = "text"
     """
     light, lost = _removals(docs, ident, text, keep_text=True)
     copied = light.where((F.col("copies") > 1) & (F.col("n_bytes") >= WINDOW)).select("_key", F.lit(True).alias("_all")).distinct()
+    lost = lost.select("_key", F.decode("kept", "utf-8").alias("_kept"))
+    changed = checkpoint(lost.unionByName(copied.select("_key", F.lit("").alias("_kept"))))
+    may_change = key_filter(changed.select("_key"), "_key")
     rows = docs.select(F.xxhash64(text_bytes(text)).alias("_key"), F.struct("*").alias("_row"))
-    found = rows.join(copied, "_key", "left").join(lost.select("_key", F.decode("kept", "utf-8").alias("_kept")), "_key", "left")
+    rows = rows.withColumn("_may", may_change(F.col("_key")))
+    found = rows.where("_may").join(changed, "_key", "left")
     old = F.col("_row")[text]
-    new = F.when(old.isNull(), old).when(F.col("_all"), F.lit("")).otherwise(F.coalesce("_kept", old))
-    return found.select(F.col("_row").withField(text, new).alias("_row")).select("_row.*")
+    new = F.when(old.isNull(), old).otherwise(F.coalesce("_kept", old))
+    found = found.select(F.col("_row").withField(text, new).alias("_row"))
+    return found.unionByName(rows.where(~F.col("_may")).select("_row")).select("_row.*")
