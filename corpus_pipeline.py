@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import langid, mixing, packing, simhash, suffix_dedup
-from loomline.llm.common import checkpoint, remove, shared_folder, written
+from loomline.llm.common import checkpoint, key_filter, remove, shared_folder, written
 
 
 def _key() -> Column:
@@ -29,15 +29,21 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each SimHash component, once.
+    """Keeps the document of smallest id of each near-duplicate component, once.
 
     Null ids come first. Of rows of that id in the component the least by hash of the text stays.
+    Most documents are in no question: they pass without a shuffle.
     """
-    classes = simhash.near_components(docs.select(_key(), "text"), ident="_key")
-    heads = classes.where(F.col("_key") == F.col("component_id")).groupBy("_key").agg(F.count(F.lit(1)).alias("_n"))
-    kept = _with_key(docs).join(heads, "_key")
-    once, several = kept.where("_n = 1"), kept.where("_n > 1").dropDuplicates(["_key"])
-    return once.unionByName(several).select("_row.*")
+    classes = simhash.verified_components(docs.select(_key(), "text"), ident="_key").groupBy("_key")
+    classes = classes.agg(F.min("component_id").alias("_head"), F.count(F.lit(1)).alias("_n"))
+    doubt = checkpoint(classes.where((F.col("_key") != F.col("_head")) | (F.col("_n") > 1)))
+    code = F.xxhash64("_key").alias("_code")
+    may_go = key_filter(doubt.select(code), "_code")
+    rows = _with_key(docs).withColumn("_may", may_go(F.xxhash64("_key")))
+    asked = rows.where("_may").join(doubt, "_key", "left")
+    kept = asked.where(F.col("_head").isNull())
+    several = asked.where(F.col("_key") == F.col("_head")).dropDuplicates(["_key"])
+    return rows.where(~F.col("_may")).select("_row").union(kept.select("_row")).union(several.select("_row")).select("_row.*")
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

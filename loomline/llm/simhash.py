@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, prepare
+from .common import checkpoint, key_filter, prepare
 from .components import components
 
 BITS = 64
@@ -141,7 +141,7 @@ def near_pairs(groups: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of the links (a, b): its least member and each other one."""
+    """Some of the links (a, b), as few as hold together what all of them do."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -149,13 +149,13 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             parent[x] = x = parent[up]
         return x
 
+    kept = []
     for x, y in zip(a.tolist(), b.tolist()):
-        x, y = root(x), root(y)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-    found = [(root(x), x) for x in list(parent)]
-    stars = [(r, x) for r, x in found if r != x]
-    return np.array([r for r, _ in stars], np.int64), np.array([x for _, x in stars], np.int64)
+        p, q = root(x), root(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            kept.append((x, y) if x < y else (y, x))
+    return np.array([x for x, _ in kept], np.int64), np.array([y for _, y in kept], np.int64)
 
 
 def compare(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -223,3 +223,56 @@ def near_components(docs: DataFrame, *, ident: str = "doc_id", text: str = "text
     heads = classes.groupBy("component").agg(F.min("_least").alias("component_id"))
     heads = classes.join(heads, "component").select("fp", "component_id")
     return rows.join(heads, "fp").select(ident, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def shingle_set(text: bytes, words: int) -> set[bytes]:
+    found = text.lower().split()
+    return {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def _similar(words: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (link, fp, text), sorted by link, to the links whose two texts have that overlap of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        link, ends = None, {}
+        for batch in batches:
+            kept = []
+            for at, fp, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != link:
+                    link, ends = at, {}
+                ends[fp] = shingle_set(text, words)
+                if len(ends) == 2:
+                    (p, x), (q, y) = ends.items()
+                    if len(x & y) >= least * len(x | y):
+                        kept.append((p, q))
+                    ends[None] = set()  # the link is judged; a repeated row adds nothing
+            a, b = zip(*kept) if kept else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def verified_components(
+    docs: DataFrame, *, ident: str = "doc_id", text: str = "text", words: int = 2, radius: int = 7, shingle: int = 5, similarity: float = 0.8
+) -> DataFrame:
+    """(``ident``, component_id) of every row, where a link is a near pair of texts and not of fingerprints alone.
+
+    Fingerprints on ``words``-word shingles within ``radius`` are candidates; those of a spanning
+    forest of them whose texts share ``similarity`` of their ``shingle``-word shingles (Jaccard)
+    are links, as are equal fingerprints. Nulls, repeated rows and empty tables as in
+    ``near_components``.
+    """
+    rows = checkpoint(fingerprints(docs, ident=ident, text=text, words=words))
+    least = checkpoint(rows.groupBy("fp").agg(F.min(ident).alias("_least")))
+    near = checkpoint(link(least.select("fp"), radius=radius))
+    ends = near.select(F.xxhash64("a", "b").alias("link"), F.explode(F.array("a", "b")).alias("fp")).join(least, "fp")
+    ends = checkpoint(ends)
+    texts = docs.select(F.col(ident).alias("_least"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    may_link = key_filter(ends.select(F.xxhash64("_least").alias("code")), "code")
+    texts = texts.where(may_link(F.xxhash64("_least")))
+    pairs = ends.join(texts, "_least").select("link", "fp", "text").repartition("link").sortWithinPartitions("link", "fp")
+    linked = components(pairs.mapInArrow(_similar(shingle, similarity), "a long, b long")).withColumnRenamed("node", "fp")
+    classes = least.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    heads = classes.groupBy("component").agg(F.min("_least").alias("component_id"))
+    heads = classes.join(heads, "component").select("fp", "component_id")
+    return rows.join(heads, "fp").select(ident, "component_id")

@@ -85,3 +85,20 @@ def test_large_files_are_compared_by_parts(spark):
     from loomline.llm.components import components
 
     assert sorted(components(whole).collect()) == sorted(components(parts).collect())
+
+
+def test_verified_components_are_near_pairs(spark):
+    from loomline.llm.simhash import shingle_set, verified_components
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    got = {r["doc_id"]: r["component_id"] for r in verified_components(docs).collect()}
+    assert set(got) == set(texts) and all(got[c] == c for c in got.values())
+    sets = {i: shingle_set(t, 5) for i, t in texts.items()}
+    near = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert sum(got[i] == got[j] for i, j in near) >= 0.8 * len(near)
+    linked = {x for pair in near for x in pair}
+    assert all(got[i] == i for i in sets if i not in linked)
+    awkward_rows = verified_components(awkward(spark)).collect()
+    assert len(awkward_rows) == awkward(spark).count()
+    assert verified_components(docs.limit(0)).collect() == []
