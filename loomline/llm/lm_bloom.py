@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, fold, prepare
-from .tokens import mixed, word_hashes
+from .tokens import mixed, slices, word_hashes
 
 #: Slices of the filter and of the counts.
 SLICE_BITS = 10
@@ -34,6 +34,8 @@ MIN_FILTER_BITS = SLICES << 9
 BASE = 1.5
 #: Pseudo-count of the token distribution in the bigram's.
 PRIOR = 50.0
+#: Bytes of text that are scored at a time.
+SCORE_BYTES = 2 << 20
 ALPHA = 0.1
 LEAST_COUNTS = (1, 2, 3, 4, 6, 8, 12, 16, 32, 64, 256, 1024, 4096, 1 << 16, 1 << 20, 1 << 30)
 
@@ -292,6 +294,28 @@ def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.frombuffer(c, np.int64))], ["token", "c"])
 
 
+def scored_slice(model: Filter, batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+    """Scores of some texts, with the tokens whose counts the model does not tell."""
+    tokens, sizes = stream(texts)
+    found, at = np.unique(tokens, return_inverse=True)
+    counts = model.exact(found)
+    firsts = np.cumsum(sizes) - sizes
+    per = lambda x: np.add.reduceat(x[at], firsts)
+    known = per((counts > 0).astype(np.int64))
+    base = per(np.where(counts >= 0, model.base(np.maximum(counts, 0)), 0.0))
+    scores = np.add.reduceat(model.model(found, at, sizes), firsts)
+    rare: list[list[int]] = [[] for _ in texts]
+    if (counts < 0).any():
+        unknown = np.flatnonzero(counts[at] < 0)
+        owner = np.searchsorted(firsts, unknown, side="right") - 1
+        for o, t in zip(owner.tolist(), tokens[unknown].view(np.int64).tolist()):
+            rare[o].append(t)
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), batch.column(1), pa.array(sizes), pa.array(known), pa.array(base), pa.array(scores), pa.array(rare, pa.list_(pa.int64()))],
+        ["_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
+    )
+
+
 def score(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", folds: int = 10, held: int = 0, **bounds: int) -> DataFrame:
     """Scores of every whole text by the model of the rows that are not held out.
 
@@ -311,26 +335,8 @@ def score(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", folds:
         model = shared.value
         for batch in batches:
             texts = batch.column(2).to_pylist()
-            if not texts:
-                continue
-            tokens, sizes = stream(texts)
-            found, at = np.unique(tokens, return_inverse=True)
-            counts = model.exact(found)
-            firsts = np.cumsum(sizes) - sizes
-            per = lambda x: np.add.reduceat(x[at], firsts)
-            known = per((counts > 0).astype(np.int64))
-            base = per(np.where(counts >= 0, model.base(np.maximum(counts, 0)), 0.0))
-            scores = np.add.reduceat(model.model(found, at, sizes), firsts)
-            rare = [[] for _ in texts]
-            if (counts < 0).any():
-                open_ = np.flatnonzero(counts[at] < 0)
-                owner = np.searchsorted(firsts, open_, side="right") - 1
-                for o, t in zip(owner.tolist(), tokens[open_].view(np.int64).tolist()):
-                    rare[o].append(t)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes), pa.array(known), pa.array(base), pa.array(scores), pa.array(rare, pa.list_(pa.int64()))],
-                ["_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
-            )
+            for a, b in slices(texts, SCORE_BYTES):
+                yield scored_slice(model, batch.slice(a, b - a), texts[a:b])
 
     rows = docs.select(F.col(ident).alias("_id"), out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     scored = rows.mapInArrow(

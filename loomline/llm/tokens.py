@@ -9,6 +9,8 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+SLICE_BYTES = 1 << 20
+
 _rng = np.random.default_rng(5)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 _STEP = int(_rng.integers(0, 1 << 64, dtype=np.uint64)) | 5
@@ -31,8 +33,25 @@ def _powers(count: int) -> np.ndarray:
     return _weights[:count]
 
 
+def slices(texts: list[bytes], size: int) -> list[tuple[int, int]]:
+    """Bounds of runs of texts of about ``size`` bytes together."""
+    limits = np.cumsum([len(t) for t in texts]) // size
+    edges = [0, *(np.flatnonzero(np.diff(limits)) + 1).tolist(), len(texts)]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if a < b]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, A-Z in lower case, and the number of words of each text."""
+    """Hashes of all words, A-Z in lower case, and the number of words of each text.
+
+    The texts go in slices, as the arrays of a slice take some 40 bytes a byte of text.
+    """
+    found = [_word_hashes(texts[a:b]) for a, b in slices(texts, SLICE_BYTES)]
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
     word = ~_SPACE[data]
     edge = np.flatnonzero(word[1:] != word[:-1]) + 1
