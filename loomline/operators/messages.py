@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import normal, tags, words
+from ..session import checkpointed
 
 
 def cue_counts(rows: DataFrame, by: str, rules: dict[str, str] | None = None) -> DataFrame:
@@ -80,6 +81,7 @@ def topic_overlap(profiles: DataFrame) -> DataFrame:
 
     The mean over n unit vectors is (|sum|^2 - n) / (n (n - 1)), so no pair is ever formed.
     """
+    profiles = checkpointed(profiles)  # read three times, and far smaller than the texts
     idf = inverse_frequency(profiles).select("token", "idf")
     weighed = profiles.join(idf, "token").withColumn("w", (1 + F.ln("n")) * F.col("idf"))
     norms = weighed.groupBy("day", "speaker").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
