@@ -2,8 +2,9 @@
 
 An n-gram of count c is in the filter once for each quantised level up to that of c, so its level
 is read back by probing level after level until one is absent. The filter is cut into slices by
-the leading bits of the n-gram's hash: the task that counts a slice's n-grams also fills its
-bits, and the whole filter, of a size bounded by a parameter, is broadcast to the scoring tasks.
+the leading bits of the n-gram's hash: the task that counts a slice's n-grams also sizes and fills
+its bits, so the filter grows with the distinct n-grams. Below a bound the whole filter is
+broadcast to the scoring tasks; beyond it the n-grams of the texts are sent to the slices.
 
 Exact token counts, which the base score needs, are broadcast only for tokens of a count that
 keeps their table within a bound; the occurrences of rarer tokens are looked up by a join.
@@ -11,7 +12,7 @@ keeps their table within a bound; the occurrences of rarer tokens are looked up
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,8 +29,12 @@ SLICES = 1 << SLICE_BITS
 #: Bounds of what is broadcast: bits of the filter, and tokens of known exact count.
 MAX_FILTER_BITS = 1 << 29
 MAX_TOKENS = 1 << 21
-BITS_PER_TOKEN = 16
-MIN_FILTER_BITS = SLICES << 9
+#: Bits of a slice for each level of each of its n-grams, and the least; probes that suit them.
+BITS_PER_LEVEL = 12
+MIN_SLICE_BITS = 512
+PROBES = 8
+#: The filter tells keys apart by this many bits below the slice's, which are what is sent to a slice.
+SENT_BITS = 32
 #: Levels grow by this factor.
 BASE = 1.5
 #: Pseudo-count of the token distribution in the bigram's.
@@ -86,20 +91,25 @@ def bigram_keys(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return mixed(mixed(before) * _BIGRAM + tokens)
 
 
-def probe_bits(keys: np.ndarray, level: int, probe: int, slice_bits: int) -> np.ndarray:
+def probe_bits(keys: np.ndarray, level: int, probe: int, slice_bits: int | np.ndarray) -> np.ndarray:
     """Bit numbers, within the slice of each key, of one probe at a level."""
     salt = (level * int(_UNIGRAM) + probe * int(_BIGRAM)) % (1 << 64)
-    return mixed(keys + np.uint64(salt)) % np.uint64(slice_bits)
+    return mixed(keys + np.uint64(salt)) % np.asarray(slice_bits, np.uint64)
 
 
 def slice_of(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(64 - SLICE_BITS)).astype(np.int64)
 
 
+def sent(keys: np.ndarray) -> np.ndarray:
+    """What tells keys apart within their slice."""
+    return (keys >> np.uint64(64 - SLICE_BITS - SENT_BITS)).astype(np.uint32)
+
+
 def fill(keys: np.ndarray, counts: np.ndarray, slice_bits: int, probes: int) -> bytes:
     """A slice's bits with every key at every level up to its own."""
     bits = np.zeros(slice_bits, bool)
-    top = levels(counts)
+    top, keys = levels(counts), sent(keys).astype(np.uint64)
     for level in range(1, int(top.max(initial=0)) + 1):
         keys = keys[top >= level]
         top = top[top >= level]
@@ -108,13 +118,37 @@ def fill(keys: np.ndarray, counts: np.ndarray, slice_bits: int, probes: int) ->
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def slice_size(counts: np.ndarray) -> int:
+    """Bits of a slice that has n-grams of these counts."""
+    return max(MIN_SLICE_BITS, (BITS_PER_LEVEL * int(levels(counts).sum()) + 7) // 8 * 8)
+
+
+def probed(keys: np.ndarray, bits: np.ndarray, starts: np.ndarray | int, sizes: np.ndarray | int, probes: int) -> np.ndarray:
+    """The level of each key as sent, found by probing upwards in its slice of ``bits``, of that start and size."""
+    found, keys = np.zeros(len(keys), np.int64), keys.astype(np.uint64)
+    starts, sizes = np.broadcast_to(starts, len(keys)), np.broadcast_to(sizes, len(keys))
+    at = np.arange(len(keys))
+    for level in range(1, len(FLOORS) + 1):
+        if not len(at):
+            break
+        for probe in range(probes):
+            bit = starts[at] + probe_bits(keys[at], level, probe, sizes[at]).astype(np.int64)
+            at = at[bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0]
+        found[at] = level
+    return found
+
+
 @dataclass
 class Filter:
-    """The broadcast model: filter bits, and exact counts of tokens of at least ``least``."""
+    """The broadcast model: filter bits, and exact counts of tokens of at least ``least``.
+
+    ``slice_bits`` is a size for all slices, or one for each. Without ``bits`` the filter is too
+    large to broadcast, and levels are looked up in its slices.
+    """
 
-    slice_bits: int
+    slice_bits: int | np.ndarray
     probes: int
-    bits: np.ndarray
+    bits: np.ndarray | None
     tokens: np.ndarray
     counts: np.ndarray
     least: int
@@ -124,17 +158,9 @@ class Filter:
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key, found by probing upwards."""
-        found = np.zeros(len(keys), np.int64)
-        base = slice_of(keys) * self.slice_bits
-        at = np.arange(len(keys))
-        level = 1
-        while len(at):
-            for probe in range(self.probes):
-                bit = base[at] + probe_bits(keys[at], level, probe, self.slice_bits).astype(np.int64)
-                at = at[self.bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0]
-            found[at] = level
-            level += 1
-        return found
+        sizes, at = np.broadcast_to(self.slice_bits, SLICES), slice_of(keys)
+        starts = np.cumsum(sizes) - sizes
+        return probed(sent(keys), self.bits, starts[at], sizes[at], self.probes)
 
     def exact(self, tokens: np.ndarray) -> np.ndarray:
         """Counts of sorted tokens; -1 for one that is rarer than the table goes."""
@@ -147,19 +173,19 @@ class Filter:
         """log10 of the smoothed share of tokens of these counts."""
         return np.log10((counts + ALPHA) / (self.total + ALPHA * (self.distinct + 1)))
 
-    def model(self, tokens: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def model(self, tokens: np.ndarray, at: np.ndarray, sizes: np.ndarray, level: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
         """log10 probability of each token after its history: ``tokens[at]`` is the stream.
 
         The bigram's count and its history's, as the filter tells them, are smoothed towards the
         token's own share with ``PRIOR`` pseudo-counts; a bigram counts as no more than its history.
         """
-        share = MIDDLES[self.level(unigram_keys(tokens))]
+        share = MIDDLES[level(unigram_keys(tokens))]
         seen = tokens[at]
         before = histories(seen, sizes)
         above = np.empty(len(at))
         above[1:] = share[at][:-1]
         above[np.cumsum(sizes) - sizes] = self.starts
-        both = np.minimum(MIDDLES[self.level(bigram_keys(before, seen))], above)
+        both = np.minimum(MIDDLES[level(bigram_keys(before, seen))], above)
         lower = (share[at] + ALPHA) / (self.total + ALPHA * (self.distinct + 1))
         return np.log10((both + PRIOR * lower) / (above + PRIOR))
 
@@ -218,13 +244,14 @@ def _merged(parts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return found, np.bincount(at, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
 
 
-def build_slices(slice_bits: int, probes: int):
+def build_slices(probes: int):
     """Rows of one slice, sorted together, to its filter bits, tokens and exact counts."""
 
     def one(at: int, parts: dict[int, list]) -> tuple:
         tokens, counts = _merged(parts.get(0, []))
         pairs, both = _merged(parts.get(1, []))
-        bits = fill(np.concatenate([unigram_keys(tokens), pairs]), np.concatenate([counts, both]), slice_bits, probes)
+        grams = np.concatenate([counts, both])
+        bits = fill(np.concatenate([unigram_keys(tokens), pairs]), grams, slice_size(grams), probes)
         order = np.argsort(tokens)
         tokens, counts = tokens[order], counts[order]
         sizes = [int((counts >= least).sum()) for least in LEAST_COUNTS]
@@ -249,21 +276,18 @@ def build_slices(slice_bits: int, probes: int):
 
 
 def learn(docs: DataFrame, text: str = "text", *, max_filter_bits: int = MAX_FILTER_BITS, max_tokens: int = MAX_TOKENS) -> tuple[Filter, DataFrame]:
-    """The model of all texts of ``docs``, and the exact counts as packed slices."""
+    """The model of all texts of ``docs``, and the filter bits and exact counts as packed slices."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-    size = texts.agg(F.sum(F.octet_length("t")).alias("b"), F.count(F.lit(1)).alias("n")).first()
-    wanted = BITS_PER_TOKEN * ((size["b"] or 0) // 6 + size["n"])
-    slice_bits = int(min(max(wanted, MIN_FILTER_BITS), max_filter_bits)) // SLICES // 8 * 8
-    probes = max(2, min(8, round(0.7 * slice_bits * SLICES / max(1, (size["b"] or 0) // 6 + size["n"]))))
+    starts = texts.count()
     counted = texts.mapInArrow(count_batch, "slice int, kind int, keys binary, counts binary")
     built = counted.repartition("slice").sortWithinPartitions("slice").mapInArrow(
-        build_slices(slice_bits, probes),
+        build_slices(PROBES),
         "slice int, bits binary, tokens binary, counts binary, distinct long, total long, sizes array<long>",
     )
     built = checkpoint(built)
     sums = [F.sum(F.col("sizes")[i]).alias(f"s{i}") for i in range(len(LEAST_COUNTS))]
-    totals = built.agg(F.sum("distinct").alias("v"), F.sum("total").alias("n"), *sums).first()
+    totals = built.agg(F.sum("distinct").alias("v"), F.sum("total").alias("n"), F.sum(F.octet_length("bits")).alias("b"), *sums).first()
     least = next(x for i, x in enumerate(LEAST_COUNTS) if (totals[f"s{i}"] or 0) <= max_tokens)
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,14 +299,18 @@ def learn(docs: DataFrame, text: str = "text", *, max_filter_bits: int = MAX_FIL
                 columns[1].append(c[c >= least].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in columns], ["tokens", "counts"])
 
-    bits = np.zeros(SLICES * slice_bits // 8, np.uint8)
-    for r in built.select("slice", "bits").toLocalIterator():
-        bits[r["slice"] * slice_bits // 8 :][: slice_bits // 8] = np.frombuffer(r["bits"], np.uint8)
+    slice_bits, bits = np.full(SLICES, MIN_SLICE_BITS, np.int64), None
+    if 8 * (totals["b"] or 0) <= max_filter_bits:
+        parts = [bytes(MIN_SLICE_BITS // 8)] * SLICES
+        for r in built.select("slice", "bits").toLocalIterator():
+            parts[r["slice"]] = bytes(r["bits"])
+            slice_bits[r["slice"]] = 8 * len(r["bits"])
+        bits = np.frombuffer(b"".join(parts), np.uint8)
     known = built.select("tokens", "counts").mapInArrow(frequent, "tokens binary, counts binary").collect()
     tokens = np.frombuffer(b"".join(bytes(r["tokens"]) for r in known), np.uint64)
     counts = np.frombuffer(b"".join(bytes(r["counts"]) for r in known), np.int64)
     order = np.argsort(tokens)
-    model = Filter(slice_bits, probes, bits, tokens[order], counts[order], least, totals["n"] or 0, totals["v"] or 0, size["n"])
+    model = Filter(slice_bits, PROBES, bits, tokens[order], counts[order], least, totals["n"] or 0, totals["v"] or 0, starts)
     return model, built
 
 
@@ -294,7 +322,7 @@ def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(t), pa.array(np.frombuffer(c, np.int64))], ["token", "c"])
 
 
-def scored_slice(model: Filter, batch: pa.RecordBatch, texts: list[bytes]) -> pa.RecordBatch:
+def scored_slice(model: Filter, ids: pa.Array, held: pa.Array, texts: list[bytes], level: Callable[[np.ndarray], np.ndarray]) -> pa.RecordBatch:
     """Scores of some texts, with the tokens whose counts the model does not tell."""
     tokens, sizes = stream(texts)
     found, at = np.unique(tokens, return_inverse=True)
@@ -303,7 +331,7 @@ def scored_slice(model: Filter, batch: pa.RecordBatch, texts: list[bytes]) -> pa
     per = lambda x: np.add.reduceat(x[at], firsts)
     known = per((counts > 0).astype(np.int64))
     base = per(np.where(counts >= 0, model.base(np.maximum(counts, 0)), 0.0))
-    scores = np.add.reduceat(model.model(found, at, sizes), firsts)
+    scores = np.add.reduceat(model.model(found, at, sizes, level), firsts)
     rare: list[list[int]] = [[] for _ in texts]
     if (counts < 0).any():
         unknown = np.flatnonzero(counts[at] < 0)
@@ -311,11 +339,112 @@ def scored_slice(model: Filter, batch: pa.RecordBatch, texts: list[bytes]) -> pa
         for o, t in zip(owner.tolist(), tokens[unknown].view(np.int64).tolist()):
             rare[o].append(t)
     return pa.RecordBatch.from_arrays(
-        [batch.column(0), batch.column(1), pa.array(sizes), pa.array(known), pa.array(base), pa.array(scores), pa.array(rare, pa.list_(pa.int64()))],
+        [ids, held, pa.array(sizes), pa.array(known), pa.array(base), pa.array(scores), pa.array(rare, pa.list_(pa.int64()))],
         ["_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"],
     )
 
 
+def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (_id, held_out, t) to rows of lists of them, of about ``SCORE_BYTES`` of text, compressed together."""
+    for batch in batches:
+        texts = batch.column(2).to_pylist()
+        for a, b in slices(texts, SCORE_BYTES):
+            ends = pa.array([0, b - a], pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, c.slice(a, b - a)) for c in batch.columns[:2]]
+            sizes = pa.array([[len(t) for t in texts[a:b]]], pa.list_(pa.int64()))
+            data = pa.compress(b"".join(texts[a:b]), codec="zstd", asbytes=True)
+            yield pa.RecordBatch.from_arrays([*lists, sizes, pa.array([data], pa.binary())], ["ids", "held", "sizes", "data"])
+
+
+def texts_of(sizes: list[int], data: bytes) -> list[bytes]:
+    """The texts of a chunk."""
+    ends = np.cumsum(sizes).tolist()
+    whole = pa.decompress(data, decompressed_size=ends[-1], codec="zstd", asbytes=True)
+    return [whole[e - n : e] for n, e in zip(sizes, ends)]
+
+
+def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of the n-grams of some texts as far as the filter tells them apart, ascending, and their slices."""
+    tokens, sizes = stream(texts)
+    keys = np.concatenate([unigram_keys(np.unique(tokens)), bigram_keys(histories(tokens, sizes), tokens)])
+    keys = np.unique(keys >> np.uint64(64 - SLICE_BITS - SENT_BITS))
+    return keys, (keys >> np.uint64(SENT_BITS)).astype(np.int64)
+
+
+def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (chunk, sizes, data) to (slice, chunk, data): the chunk's keys in each slice, packed."""
+    for batch in batches:
+        for chunk, sizes, data in zip(*(c.to_pylist() for c in batch.columns)):
+            keys, where = keys_of(texts_of(sizes, data))
+            ends = np.searchsorted(where, np.arange(SLICES + 1))
+            some = np.flatnonzero(np.diff(ends))
+            packed = keys.astype(np.uint32)
+            parts = [packed[ends[s] : ends[s + 1]].tobytes() for s in some]
+            columns = [pa.array(some, pa.int32()), pa.array([chunk] * len(some), pa.int64()), pa.array(parts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["slice", "chunk", "data"])
+
+
+def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (slice, chunk, data) by slice, its bits first under chunk -1, to the levels of each chunk's keys as bytes."""
+    at, bits = None, np.zeros(0, np.uint8)
+    for batch in batches:
+        rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+        low = 0
+        while low < len(rows):
+            s, high = rows[low][0], low
+            while high < len(rows) and rows[high][0] == s:
+                high += 1
+            asked = rows[low:high]
+            low = high
+            if asked[0][1] < 0:
+                at, bits = s, np.frombuffer(asked.pop(0)[2], np.uint8)
+            keys = np.frombuffer(b"".join(data for _, _, data in asked), np.uint32)
+            found = probed(keys, bits, 0, 8 * len(bits), PROBES) if s == at else np.zeros(len(keys), np.int64)
+            ends = np.cumsum([0, *(len(data) // 4 for _, _, data in asked)]).tolist()
+            told = [found[i:j].astype(np.uint8).tobytes() for i, j in zip(ends, ends[1:])]
+            chunks = pa.array([chunk for _, chunk, _ in asked], pa.int64())
+            yield pa.RecordBatch.from_arrays([chunks, pa.array([s] * len(asked), pa.int32()), pa.array(told, pa.binary())], ["chunk", "slice", "data"])
+
+
+def scored_by_slices(rows: DataFrame, kind: str, form: str, shared, built: DataFrame) -> DataFrame:
+    """Scores of rows (_id, held_out, t) where no task holds more of the filter than a slice.
+
+    The distinct keys of a chunk of texts go to their slices, and their levels come back to the chunk.
+    """
+    chunks = rows.mapInArrow(chunked, f"ids array<{kind}>, held array<boolean>, sizes array<long>, data binary")
+    rows.sparkSession._jvm.System.gc()  # the files of the counts' shuffle go with the plan that nothing holds now
+    chunks = checkpoint(chunks.withColumn("chunk", F.monotonically_increasing_id()))
+    asked = chunks.select("chunk", "sizes", "data").mapInArrow(ask, "slice int, chunk long, data binary")
+    asked = asked.union(built.select("slice", F.lit(-1).cast("long"), "bits"))
+    told = asked.repartition("slice").sortWithinPartitions("slice", "chunk").mapInArrow(answer, "chunk long, slice int, data binary")
+    none = F.lit(None)
+    told = told.select("chunk", "slice", "data", *[none.cast(chunks.schema[c].dataType).alias(c) for c in ("ids", "held", "sizes")])
+    told = told.union(chunks.select("chunk", F.lit(-1), "data", "ids", "held", "sizes"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, found = None, []
+
+        def scored() -> pa.RecordBatch:
+            ids, held, sizes = (c.flatten() for c in chunk[:3])
+            texts = texts_of(sizes.to_pylist(), chunk[3])
+            keys, known = keys_of(texts)[0], np.frombuffer(b"".join(found), np.uint8)
+            shift = np.uint64(64 - SLICE_BITS - SENT_BITS)
+            return scored_slice(shared.value, ids, held, texts, lambda k: known[np.searchsorted(keys, k >> shift)])
+
+        for batch in batches:
+            for i, (s, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if s >= 0:
+                    found.append(data)
+                    continue
+                if chunk is not None:
+                    yield scored()
+                chunk, found = [*(batch.column(c).slice(i, 1) for c in (3, 4, 5)), data], []
+        if chunk is not None:
+            yield scored()
+
+    return told.repartition("chunk").sortWithinPartitions("chunk", "slice").mapInArrow(run, form)
+
+
 def score(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", folds: int = 10, held: int = 0, **bounds: int) -> DataFrame:
     """Scores of every whole text by the model of the rows that are not held out.
 
@@ -336,12 +465,11 @@ def score(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", folds:
         for batch in batches:
             texts = batch.column(2).to_pylist()
             for a, b in slices(texts, SCORE_BYTES):
-                yield scored_slice(model, batch.slice(a, b - a), texts[a:b])
+                yield scored_slice(model, batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), texts[a:b], model.level)
 
     rows = docs.select(F.col(ident).alias("_id"), out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
-    scored = rows.mapInArrow(
-        run, f"_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"
-    )
+    form = f"_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<long>"
+    scored = rows.mapInArrow(run, form) if model.bits is not None else scored_by_slices(rows, kind, form, shared, exact)
     if model.least > 1:
         scored = checkpoint(scored.withColumn("_row", F.monotonically_increasing_id()))
         looked = scored.select("_row", F.explode("rare").alias("token")).groupBy("_row", "token").agg(F.count(F.lit(1)).alias("k"))

@@ -8,7 +8,7 @@ import pytest
 from helpers import awkward
 
 from loomline.llm import lm_bloom
-from loomline.llm.lm_bloom import FLOORS, MIDDLES, bigram_keys, fill, levels, score
+from loomline.llm.lm_bloom import FLOORS, MIDDLES, bigram_keys, fill, levels, score, unigram_keys
 
 
 def tokens(text):
@@ -61,3 +61,26 @@ def test_levels_are_read_back():
     absent = bigram_keys(keys, keys)
     assert (model.level(absent) == 0).mean() > 0.99
     assert FLOORS[0] == 1 and MIDDLES[1] == 1.0 and (np.diff(FLOORS) > 0).all()
+
+
+def test_a_full_filter_ends_at_the_top_level():
+    keys = bigram_keys(np.arange(10, dtype=np.uint64), np.arange(10, dtype=np.uint64))
+    bits = np.full(lm_bloom.SLICES, 255, np.uint8)
+    model = lm_bloom.Filter(8, 2, bits, keys[:0], np.zeros(0, np.int64), 1, 1, 1, 1)
+    assert (model.level(keys) == len(FLOORS)).all() and len(MIDDLES) == len(FLOORS) + 1
+
+
+def test_a_filter_beyond_the_bound_scores_the_same(spark):
+    docs = awkward(spark, [(i, f"word{i} the of w{i % 3} {i * 7}", "en", "s", 1) for i in range(20, 400)])
+    every = lambda rows: sorted(((*shown([r])[0], round(r["score"], 9)) for r in rows), key=str)
+    assert every(score(docs, max_filter_bits=64, max_tokens=8).collect()) == every(score(docs).collect())
+    assert score(docs.limit(0), max_filter_bits=64).collect() == []
+
+
+def test_slices_grow_with_their_ngrams():
+    counts = np.array([1, 5, 300] * 40_000)
+    keys = unigram_keys(np.arange(len(counts), dtype=np.uint64))
+    bits = np.frombuffer(fill(keys, counts, lm_bloom.slice_size(counts), lm_bloom.PROBES), np.uint8)
+    level = lambda k: lm_bloom.probed(lm_bloom.sent(k), bits, 0, 8 * len(bits), lm_bloom.PROBES)
+    assert (level(keys) == levels(counts)).mean() > 0.99
+    assert (level(bigram_keys(keys, keys)) == 0).mean() > 0.99
