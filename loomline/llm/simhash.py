@@ -158,16 +158,26 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([x for x, _ in kept], np.int64), np.array([y for _, y in kept], np.int64)
 
 
-def compare(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches of (group, fp), sorted by group, to links (a, b): a forest of each chunk's near pairs."""
+def compare(radius: int, every: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (group, fp), sorted by group, to links (a, b): a forest of each chunk's near pairs.
 
-    def links(groups: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    With ``every``, to (a, b, tree): all near pairs, and those of the forest once more as ``tree``.
+    """
+
+    def links(groups: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
         _, at, sizes = np.unique(groups, return_inverse=True, return_counts=True)
         several = sizes[at] > 1
         groups, values = groups[several], values[several]
         i, j = near_pairs(groups, values.view(np.uint64), radius) if len(groups) else (np.zeros(0, np.int64),) * 2
         a, b = forest(values[i], values[j])
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        if not every:
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            return
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.ones(len(a), bool))], ["a", "b", "tree"])
+        for low in range(0, len(i), CHUNK_ROWS):
+            x, y = values[i[low : low + CHUNK_ROWS]], values[j[low : low + CHUNK_ROWS]]
+            columns = [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.zeros(len(x), bool))]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "tree"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -177,10 +187,10 @@ def compare(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 groups, values = (np.concatenate(x) for x in zip(*held))
                 whole = int(np.searchsorted(groups, groups[-1]))
                 if whole:
-                    yield links(groups[:whole], values[:whole])
+                    yield from links(groups[:whole], values[:whole])
                 held = [(groups[whole:], values[whole:])]
         if held:
-            yield links(*(np.concatenate(x) for x in zip(*held)))
+            yield from links(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
@@ -208,6 +218,13 @@ def link(distinct: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     return groups.mapInArrow(compare(radius), "a long, b long").distinct()
 
 
+def candidates(distinct: DataFrame, *, radius: int) -> DataFrame:
+    """All pairs (a, b, tree) of fingerprints within ``radius``; those of ``tree`` hold together what all do."""
+    groups = filed(distinct, radius).repartition("group").sortWithinPartitions("group", "fp")
+    found = groups.mapInArrow(compare(radius, every=True), "a long, b long, tree boolean")
+    return found.groupBy("a", "b").agg(F.max("tree").alias("tree"))
+
+
 def near_components(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", words: int = 4, radius: int = RADIUS) -> DataFrame:
     """(``ident``, fingerprint, component_id) of every row.
 
@@ -257,21 +274,31 @@ def verified_components(
 ) -> DataFrame:
     """(``ident``, component_id) of every row, where a link is a near pair of texts and not of fingerprints alone.
 
-    Fingerprints on ``words``-word shingles within ``radius`` are candidates; those of a spanning
-    forest of them whose texts share ``similarity`` of their ``shingle``-word shingles (Jaccard)
-    are links, as are equal fingerprints. Nulls, repeated rows and empty tables as in
-    ``near_components``.
+    Fingerprints on ``words``-word shingles within ``radius`` are candidates; those whose texts
+    share ``similarity`` of their ``shingle``-word shingles (Jaccard) are links, as are equal
+    fingerprints. A spanning forest of the candidates is verified first, then every other
+    candidate whose ends the links found so far leave apart. Nulls, repeated rows and empty tables
+    as in ``near_components``.
     """
     rows = checkpoint(fingerprints(docs, ident=ident, text=text, words=words))
     least = checkpoint(rows.groupBy("fp").agg(F.min(ident).alias("_least")))
-    near = checkpoint(link(least.select("fp"), radius=radius))
-    ends = near.select(F.xxhash64("a", "b").alias("link"), F.explode(F.array("a", "b")).alias("fp")).join(least, "fp")
-    ends = checkpoint(ends)
+    near = checkpoint(candidates(least.select("fp"), radius=radius))
     texts = docs.select(F.col(ident).alias("_least"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    may_link = key_filter(ends.select(F.xxhash64("_least").alias("code")), "code")
-    texts = texts.where(may_link(F.xxhash64("_least")))
-    pairs = ends.join(texts, "_least").select("link", "fp", "text").repartition("link").sortWithinPartitions("link", "fp")
-    linked = components(pairs.mapInArrow(_similar(shingle, similarity), "a long, b long")).withColumnRenamed("node", "fp")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.xxhash64("a", "b").alias("link"), F.explode(F.array("a", "b")).alias("fp")).join(least, "fp")
+        ends = checkpoint(ends)
+        may_link = key_filter(ends.select(F.xxhash64("_least").alias("code")), "code")
+        asked = texts.where(may_link(F.xxhash64("_least")))
+        pairs = ends.join(asked, "_least").select("link", "fp", "text").repartition("link").sortWithinPartitions("link", "fp")
+        return checkpoint(pairs.mapInArrow(_similar(shingle, similarity), "a long, b long"))
+
+    links = verified(near.where("tree"))
+    held = components(links)
+    side = lambda c: held.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
+    apart = near.where("not tree").join(side("a"), "a", "left").join(side("b"), "b", "left")
+    apart = apart.where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
+    linked = components(links.union(verified(apart))).withColumnRenamed("node", "fp")
     classes = least.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     heads = classes.groupBy("component").agg(F.min("_least").alias("component_id"))
     heads = classes.join(heads, "component").select("fp", "component_id")

@@ -102,3 +102,43 @@ def test_verified_components_are_near_pairs(spark):
     awkward_rows = verified_components(awkward(spark)).collect()
     assert len(awkward_rows) == awkward(spark).count()
     assert verified_components(docs.limit(0)).collect() == []
+
+
+def slow_verified(rows, same_text_only):
+    """Components of all pairs of texts within seven bits that are 0.8 alike."""
+    from loomline.llm.simhash import shingle_set
+
+    found = [(i, slow_fingerprint(t, 2), t, shingle_set(t.encode(), 5)) for i, t in rows]
+    root = {i: i for i, *_ in found}
+    for i, a, t, x in found:
+        for j, b, u, y in found:
+            alike = len(x & y) >= 0.8 * len(x | y) if same_text_only or a != b else True
+            if i < j and (a ^ b).bit_count() <= 7 and alike and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    return root
+
+
+def crowded():
+    """Texts of one template: near by fingerprint, of all degrees of likeness by text."""
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(40)]
+    base = [words[i % 40] for i in range(200)]
+    rows = []
+    for k in range(60):
+        w = [*base, *(f"own{k // 2}x{i}" for i in range(50 + k // 2))]
+        for at in rng.integers(0, 200, k % 2):
+            w[at] = f"edit{k}"
+        rows.append((k, " ".join(w)))
+    return [rows[i] for i in rng.permutation(60)]
+
+
+def test_every_candidate_pair_is_verified(spark):
+    from loomline.llm.simhash import verified_components
+
+    rows = crowded()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in verified_components(docs).collect()}
+    want = slow_verified(rows, True)
+    assert len(set(want.values())) > 1 and any(i != r for i, r in want.items())
+    assert got == want
