@@ -248,16 +248,16 @@ def shingle_set(text: bytes, words: int) -> set[bytes]:
 
 
 def _similar(words: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (link, fp, text), sorted by link, to the links whose two texts have that overlap of shingles."""
+    """Rows (link, h, text), sorted by link, to the links (a, b) whose two texts have that overlap of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         link, ends = None, {}
         for batch in batches:
             kept = []
-            for at, fp, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for at, h, text in zip(*(c.to_pylist() for c in batch.columns)):
                 if at != link:
                     link, ends = at, {}
-                ends[fp] = shingle_set(text, words)
+                ends[h] = shingle_set(text, words)
                 if len(ends) == 2:
                     (p, x), (q, y) = ends.items()
                     if len(x & y) >= least * len(x | y):
@@ -274,32 +274,42 @@ def verified_components(
 ) -> DataFrame:
     """(``ident``, component_id) of every row, where a link is a near pair of texts and not of fingerprints alone.
 
-    Fingerprints on ``words``-word shingles within ``radius`` are candidates; those whose texts
-    share ``similarity`` of their ``shingle``-word shingles (Jaccard) are links, as are equal
-    fingerprints. A spanning forest of the candidates is verified first, then every other
-    candidate whose ends the links found so far leave apart. Nulls, repeated rows and empty tables
-    as in ``near_components``.
+    Distinct texts whose fingerprints on ``words``-word shingles are within ``radius``, or equal,
+    are candidates; those that share ``similarity`` of their ``shingle``-word shingles (Jaccard)
+    are links. Enough candidates to hold together all are verified first, then every other one
+    whose ends the links found so far leave apart. Nulls, repeated rows and empty tables as in
+    ``near_components``.
     """
-    rows = checkpoint(fingerprints(docs, ident=ident, text=text, words=words))
-    least = checkpoint(rows.groupBy("fp").agg(F.min(ident).alias("_least")))
-    near = checkpoint(candidates(least.select("fp"), radius=radius))
-    texts = docs.select(F.col(ident).alias("_least"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
+    keyed = docs.select(F.struct(F.col(ident).alias("id"), F.xxhash64(body).alias("h")).alias("_row"), F.col(text).alias("_body"))
+    rows = fingerprints(keyed, ident="_row", text="_body", words=words)
+    rows = checkpoint(rows.select(F.col("_row.id").alias(ident), F.col("_row.h").alias("h"), "fp"))
+    least = checkpoint(rows.groupBy("fp", "h").agg(F.min(ident).alias("_least")))
+    heads = checkpoint(least.groupBy("fp").agg(F.min("h").alias("head"), F.count(F.lit(1)).alias("n")))
+    near = checkpoint(candidates(heads.select("fp"), radius=radius))
+    texts = docs.select(F.xxhash64(body).alias("h"), body.alias("text"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.xxhash64("a", "b").alias("link"), F.explode(F.array("a", "b")).alias("fp")).join(least, "fp")
-        ends = checkpoint(ends)
-        may_link = key_filter(ends.select(F.xxhash64("_least").alias("code")), "code")
-        asked = texts.where(may_link(F.xxhash64("_least")))
-        pairs = ends.join(asked, "_least").select("link", "fp", "text").repartition("link").sortWithinPartitions("link", "fp")
-        return checkpoint(pairs.mapInArrow(_similar(shingle, similarity), "a long, b long"))
-
-    links = verified(near.where("tree"))
+        ends = checkpoint(pairs.select(F.xxhash64("p", "q").alias("link"), F.explode(F.array("p", "q")).alias("h")))
+        may_link = key_filter(ends.select(F.xxhash64("h").alias("code")), "code")
+        asked = texts.where(may_link(F.xxhash64("h"))).dropDuplicates(["h"])
+        sorted_ends = ends.join(asked, "h").select("link", "h", "text").repartition("link").sortWithinPartitions("link", "h")
+        return checkpoint(sorted_ends.mapInArrow(_similar(shingle, similarity), "a long, b long"))
+
+    head = lambda c, h: heads.select(F.col("fp").alias(c), F.col("head").alias(h))
+    first = near.where("tree").join(head("a", "p"), "a").join(head("b", "q"), "b").select("p", "q")
+    several = least.join(heads.where("n > 1"), "fp")
+    first = checkpoint(first.union(several.where("h <> head").select(F.col("head").alias("p"), F.col("h").alias("q"))))
+    links = verified(first)
+
     held = components(links)
-    side = lambda c: held.select(F.col("node").alias(c), F.col("component").alias(f"_{c}"))
-    apart = near.where("not tree").join(side("a"), "a", "left").join(side("b"), "b", "left")
-    apart = apart.where(F.coalesce("_a", "a") != F.coalesce("_b", "b"))
-    linked = components(links.union(verified(apart))).withColumnRenamed("node", "fp")
-    classes = least.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    heads = classes.groupBy("component").agg(F.min("_least").alias("component_id"))
-    heads = classes.join(heads, "component").select("fp", "component_id")
-    return rows.join(heads, "fp").select(ident, "component_id")
+    nodes = least.join(held.withColumnRenamed("node", "h"), "h", "left").select("fp", "h", F.coalesce("component", "h").alias("c"))
+    side = lambda fp, h: nodes.select(F.col("fp").alias(fp), F.col("h").alias(h), F.col("c").alias(f"_{h}"))
+    across = near.join(side("a", "p"), "a").join(side("b", "q"), "b").where("_p <> _q").select("p", "q")
+    within = side("a", "p").join(side("a", "q"), "a").where("p < q and _p <> _q").select("p", "q")
+    rest = across.union(within).join(first, ["p", "q"], "left_anti")
+    linked = components(links.union(verified(rest))).withColumnRenamed("node", "h")
+    classes = least.join(linked, "h", "left").withColumn("component", F.coalesce("component", "h"))
+    lowest = classes.groupBy("component").agg(F.min("_least").alias("component_id"))
+    found = classes.join(lowest, "component").select("h", "component_id")
+    return rows.join(found, "h").select(ident, "component_id")

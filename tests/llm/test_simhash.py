@@ -142,3 +142,15 @@ def test_every_candidate_pair_is_verified(spark):
     want = slow_verified(rows, True)
     assert len(set(want.values())) > 1 and any(i != r for i, r in want.items())
     assert got == want
+
+
+def test_equal_fingerprints_are_no_proof(spark):
+    from loomline.llm.simhash import verified_components
+
+    ones = "0 " * 150
+    texts = [ones + " ".join(f"{name}{i}" for i in range(60)) for name in ("tree", "ship", "coal")]
+    assert len({slow_fingerprint(t, 2) for t in texts}) == 1
+    rows = [(1, texts[0]), (2, texts[1]), (3, texts[2]), (4, texts[1]), (5, texts[2] + " more"), (6, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in verified_components(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 2, 5: 3, 6: 1}
