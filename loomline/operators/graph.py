@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -46,21 +48,21 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.distinct().groupBy("day").applyInPandas(one, f"day {kind}, components long, largest long")
 
 
-def reachable(roots: DataFrame, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def reachable(roots: DataFrame, edges: DataFrame, most_rounds: int | None = None) -> DataFrame:
     """Nodes reached from roots (node, at) over edges (src, dst, at) that never go back in time.
 
     Each round joins the newly reached nodes alone, keeps the earliest arrival, and stops when
-    none is new or earlier.
+    none is new or earlier. A bound of rounds that is met before that is an error.
     """
     reached = roots.groupBy("node").agg(F.min("at").alias("at"))
-    for _ in range(most_rounds):
+    for _ in count() if most_rounds is None else range(most_rounds):
         steps = reached.alias("r").join(edges.alias("e"), (F.col("r.node") == F.col("e.src")) & (F.col("e.at") >= F.col("r.at")))
         found = steps.select(F.col("e.dst").alias("node"), F.col("e.at").alias("at"))
         grown = checkpointed(reached.unionByName(found).groupBy("node").agg(F.min("at").alias("at")))
         if grown.exceptAll(reached).isEmpty():
             return grown
         reached = grown
-    return reached
+    raise RuntimeError(f"nodes are still newly reached after {most_rounds} rounds")
 
 
 def renamed(ids: Column, aliases: dict[str, str]) -> Column:

@@ -266,3 +266,11 @@ def test_scoring_is_repeatable_and_once_a_hash(spark, store):
     assert len(scoring.next_epoch(scoring.next_epoch([], {"m": 1, "batch": 2}), {"m": 1, "batch": 3})) == 2
     with pytest.raises(ValueError, match="another run"):
         scoring.next_epoch([{"config": {"m": 1}}], {"m": 2})
+
+
+def test_reachable_tells_that_its_bound_was_met(spark):
+    roots = spark.createDataFrame([("0", 0)], "node string, at int").coalesce(1)
+    chain = spark.createDataFrame([(str(i), str(i + 1), 1) for i in range(6)], "src string, dst string, at int").coalesce(1)
+    assert graph.reachable(roots, chain).count() == 7
+    with pytest.raises(RuntimeError):
+        graph.reachable(roots, chain, most_rounds=3)
