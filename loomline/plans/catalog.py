@@ -539,6 +539,20 @@ def components(spark, sf):
     return graph.components(nodes, edges)
 
 
+@query(
+    _EDGES.replace("WITH", "WITH RECURSIVE")
+    + """, s AS (SELECT DISTINCT day, src, dst FROM e), n AS (SELECT day, src AS v FROM s UNION SELECT day, dst FROM s),
+    b AS (SELECT day, src AS a, dst AS b FROM s UNION SELECT day, dst, src FROM s),
+    r(day, v, root) AS (SELECT day, v, v FROM n UNION SELECT r.day, b.b, r.root FROM r JOIN b ON r.day = b.day AND r.v = b.a),
+    c AS (SELECT day, v, min(root) AS root FROM r GROUP BY ALL), z AS (SELECT day, root, count(*) AS size FROM c GROUP BY ALL)
+    SELECT day, count(*) AS components, max(size) AS largest FROM z GROUP BY day"""
+)
+def components_all(spark, sf):
+    edges = _edges(spark, sf)
+    nodes = edges.select("day", F.col("src").alias("node")).union(edges.select("day", "dst")).distinct()
+    return graph.components(nodes, edges)
+
+
 # --- exports, rules, joins of the star tables --------------------------------------------------------
 
 
