@@ -457,6 +457,19 @@ def length_matched_pair(spark, sf):
     return messages.matched_pair(rows.where("speaker = 'user'").select("ident", "tokens"), targets, nearest=8)
 
 
+@query(
+    r"""WITH t AS (SELECT conv_id * 1000 + turn AS ident, role, len(string_split_regex(trim(text), '\s+')) AS tokens FROM conversations),
+    x AS (SELECT ident AS target, tokens AS wanted FROM t WHERE role = 'system'),
+    n AS (SELECT target, wanted, ident, tokens, row_number() OVER (PARTITION BY target ORDER BY abs(tokens - wanted / 2), ident) AS r FROM x CROSS JOIN t WHERE role = 'user'),
+    c AS (SELECT * FROM n WHERE r <= 32), p AS (SELECT a.target, abs(a.tokens + b.tokens - a.wanted) AS gap, a.ident AS first, b.ident AS second FROM c a JOIN c b ON a.target = b.target AND a.ident < b.ident),
+    o AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY gap, first, second) AS r FROM p) SELECT target, gap, first, second FROM o WHERE r = 1"""
+)
+def length_matched_pair_32(spark, sf):
+    rows = conversation_messages(spark, sf).select((F.col("day") * 1000 + F.col("event_index")).alias("ident"), "speaker", messages.word_total(F.col("text")).alias("tokens"))
+    targets = rows.where("speaker = 'system'").select(F.col("ident").alias("target"), "tokens")
+    return messages.matched_pair(rows.where("speaker = 'user'").select("ident", "tokens"), targets)
+
+
 # --- score vectors ----------------------------------------------------------------------------------
 
 
