@@ -2,22 +2,27 @@
 
 Every 200-byte window has an anchor: the leftmost least hash among its 40-byte substrings. Equal
 windows have equal anchors at equal places, so only windows whose anchor hash occurs elsewhere can
-repeat. Those are cut out as segments, one per anchor, and meet by anchor hash. A task sorts the
-window starts of many segments at once: suffixes smaller than their successors are sorted
-directly, the rest are induced by one scan over the buckets of first bytes, and the common prefix
-of neighbours tells which windows repeat. Equal whole texts never enter: one of them stands for
-all, and each is covered from end to end.
+repeat. Those are cut out as segments, one per anchor, and meet by anchor hash. Equal segments
+are counted and one of them stands for all: a segment that occurs twice repeats from end to end. A
+task sorts the window starts of many different segments at once: suffixes smaller than their
+successors are sorted directly, the rest are induced by one scan over the buckets of first bytes,
+and the common prefix of neighbours tells which windows repeat. Equal whole texts never enter: one
+of them stands for all, and each is covered from end to end.
+
+Different segments of one anchor that are too many for one sort are cut finer. Their windows lie
+at known distances from the anchor, so those of 20 neighbouring distances share 181 bytes, and
+only windows equal in these meet again; what is still too much is told apart by whole windows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LONG_MIN, checkpoint, key_filter, prepare, remove, shared_folder, text_bytes, written
@@ -27,9 +32,11 @@ GRAM = 40
 #: A text is read in parts of this many window starts.
 PART = 1 << 19
 #: Bytes of segments that are sorted together.
-SORT_BYTES = 2 << 20
-#: Occurrences of one anchor that are compared as segments; those of a more frequent one are dealt by whole windows.
-HOT = 8000
+SORT_BYTES = 1 << 20
+#: Bytes of the different segments of one key that are sorted together; more are cut finer.
+GROUP_BYTES = 2 << 20
+#: Neighbouring distances from the anchor whose windows stay together at each finer cut.
+FINER = (20, 1)
 SEPARATOR = b"\xff"
 
 _rng = np.random.default_rng(4)
@@ -198,59 +205,93 @@ def spans(flags: np.ndarray, low: int) -> list[tuple[int, int]]:
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         owner, hashes, low, high = anchors(batch.column(2).to_pylist())
-        ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        owner = pa.array(owner)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hashes.view(np.int64)), pa.array(ids[owner]), pa.array(keys[owner]), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
+            [pa.array(hashes.view(np.int64)), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))],
             ["anchor", "_id", "_key", "low", "high"],
         )
 
 
+UNIT = "key long, sha binary, _key binary, low int, segment binary, done boolean"
+_UNIT = (["key", "sha", "_key", "low", "segment", "done"], [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.bool_()])
+
+
+def _units(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[]] * len(_UNIT[0])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _UNIT[1])], _UNIT[0])
+
+
+def _digest(data: bytes) -> bytes:
+    return hashlib.sha256(data).digest()[:16]
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text, marks of anchor, low, high, hot) to the segments: whole, or for a hot anchor by windows."""
-    names = ["anchor", "_key", "low", "segment"]
+    """(key, text, marks of anchor, low, high) to the segments."""
     for batch in batches:
-        keys, anchor, low, cut = [], [], [], []
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(anchor, pa.int64()), pa.array(keys, pa.int64()), pa.array(low, pa.int32()), pa.array(cut, pa.binary())], names
-            )
-
-        for key, text, marks in zip(*(c.to_pylist() for c in batch.columns)):
-            for m in marks:
-                ranges = [(m["anchor"], m["low"], m["high"])]
-                if m["hot"]:
-                    data = np.frombuffer(text[m["low"] : m["high"] + WINDOW], np.uint8)
-                    ranges = [(h, m["low"] + i, m["low"] + i) for i, h in enumerate(gram_hashes(data, WINDOW).view(np.int64).tolist())]
-                for h, first, last in ranges:
-                    anchor.append(h)
-                    keys.append(key)
-                    low.append(first)
-                    cut.append(text[first : last + WINDOW])
-                    size += len(cut[-1])
-            if size > SORT_BYTES:
-                yield out()
-                keys, anchor, low, cut = [], [], [], []
-                size = 0
-        yield out()
+        rows, size = [], 0
+        for key, text, marks in zip(*batch.columns):
+            key, text = key.as_py(), text.as_py()
+            marks = marks.values
+            for anchor, low, high in zip(*(marks.field(n).to_pylist() for n in range(3))):
+                segment = text[low : high + WINDOW]
+                rows.append((anchor, _digest(segment), key, low, segment, False))
+                size += len(segment)
+                if size > SORT_BYTES:
+                    yield _units(rows)
+                    rows, size = [], 0
+        yield _units(rows)
+
+
+def _key_of(data: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
+
+
+def _finer(width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Units to smaller ones, of the windows of ``width`` neighbouring distances from their anchor.
+
+    The anchor of a unit is the leftmost least hash of its 40-byte substrings. All windows of such
+    a smaller unit hold the bytes that its first and last have in common, and are keyed by them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, size = [], 0
+            for key, low, segment, done in zip(*(c.to_pylist() for c in batch.columns)):
+                grams = gram_hashes(np.frombuffer(segment, np.uint8), GRAM)
+                anchor, last = int(np.argmin(grams & ~_LOW)), len(segment) - WINDOW
+                first = 0
+                while first <= last:
+                    place = (anchor - first) // width
+                    end = min(last, anchor - place * width)
+                    begin = anchor - place * width - width + 1  # where the class's first window would start
+                    core = segment[begin + width - 1 : begin + WINDOW]
+                    part = segment[first : end + WINDOW]
+                    rows.append((_key_of(place.to_bytes(2, "little") + core), _digest(part), key, low + first, part, done))
+                    size += len(part)
+                    first = end + 1
+                if size > SORT_BYTES:
+                    yield _units(rows)
+                    rows, size = [], 0
+            yield _units(rows)
+
+    return run
 
 
 def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Segments, sorted by anchor, to the byte ranges of repeated windows.
+    """Different segments, sorted by their key, to the byte ranges of repeated windows; those done already give none.
 
-    As many whole anchors as fit are sorted together. What one anchor has beyond that is sorted in
-    turn with the anchor's first segment: only windows of one hash are that many.
+    As many whole keys as fit are sorted together.
     """
     rows: list[tuple] = []
     size = 0
 
     def out(part: list[tuple]) -> pa.RecordBatch:
-        found = [(k, a, b) for (_, k, low, _), flags in zip(part, repeated([r[3] for r in part])) for a, b in spans(flags, low)]
+        flags = repeated([r[3] for r in part])
+        found = [(k, a, b) for (_, k, low, _, done), f in zip(part, flags) if not done for a, b in spans(f, low)]
         columns = list(zip(*found)) if found else [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.int32()) for c in columns[1:])], ["_key", "a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), *(pa.array(c, pa.int32()) for c in columns[1:])], ["_key", "a", "b"])
 
-    last = 0  # where the rows of the last anchor begin
+    last = 0  # where the rows of the last key begin
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
             if rows and row[0] != rows[-1][0]:
@@ -261,14 +302,38 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out(rows[:last])
                 rows, last = rows[last:], 0
                 size = sum(len(r[3]) for r in rows)
-            elif size >= 8 * SORT_BYTES:
-                yield out(rows)
-                rows = rows[:1]
-                size = len(rows[0][3])
     if rows:
         yield out(rows)
 
 
+def _repeats(units: DataFrame, folder: str, widths: tuple[int, ...] = FINER) -> DataFrame:
+    """(_key, a, b): the byte ranges of windows that stand in units of one key more than once.
+
+    Equal units are counted before any shuffle of more than one of them; where a unit occurs twice
+    all its members repeat. The others are sorted by key, or cut finer where a key has too many.
+    """
+    spark = units.sparkSession
+    units = written(units, f"{folder}/units-{len(widths)}")
+    own = F.struct("_key", "low")
+    distinct = units.groupBy("key", "sha").agg(
+        F.min(own).alias("own"), F.min("segment").alias("segment"), F.count(F.lit(1)).alias("n"), F.max("done").alias("done")
+    )
+    distinct = written(distinct, f"{folder}/distinct-{len(widths)}")
+    twice = distinct.where("n > 1").select("key", "sha")
+    members = units.where("not done").select("key", "sha", "_key", "low", F.octet_length("segment").alias("size"))
+    found = members.join(twice, ["key", "sha"]).select("_key", F.col("low").alias("a"), (F.col("low") + F.col("size")).alias("b"))
+    keys = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("segment")).alias("size"), F.min(F.col("done") | (F.col("n") > 1)).alias("all"))
+    keys = checkpoint(keys.where("c > 1 and not all").select("key", (F.col("size") > GROUP_BYTES).alias("large")))
+    several = distinct.join(keys, "key").select("key", "own.*", "segment", (F.col("done") | (F.col("n") > 1)).alias("done"), "large")
+    small = several.where("not large") if widths else several
+    small = small.select("key", "_key", "low", "segment", "done").repartition("key").sortWithinPartitions("key")
+    found = found.union(small.mapInArrow(_sort, "_key binary, a int, b int"))
+    if widths and not keys.where("large").isEmpty():
+        large = several.where("large").select("_key", "low", "segment", "done").mapInArrow(_finer(widths[0]), UNIT)
+        found = found.union(_repeats(large, folder, widths[1:]))
+    return found
+
+
 def _whole_characters(text: bytes, ranges: list[list[int]]) -> bytes:
     """A text without the characters that lie wholly in the ranges."""
     kept, at = [], 0
@@ -300,40 +365,44 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             kept = b"".join([*kept, text[at:]])
             rows.append((key, removed, runs, hashlib.sha256(kept).hexdigest(), _whole_characters(text, merged)))
         columns = list(zip(*rows)) if rows else [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+        kinds = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["_key", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
+def _identity(text: Column) -> Column:
+    """128 bits of a text's SHA-256: what tells texts apart."""
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
 def _removals(docs: DataFrame, ident: str, text: str, keep_text: bool) -> tuple[DataFrame, DataFrame]:
     """(_id, _key, n_bytes, sha, copies) of every row, and (_key, n_removed, ...) of the single texts that lose bytes."""
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(F.coalesce(F.col(ident).cast("long"), F.lit(LONG_MIN)).alias("_id"), text_bytes(text).alias("_text"))
-    rows = rows.select("_id", F.xxhash64("_text").alias("_key"), "_text")
-    light = checkpoint(rows.select("_id", "_key", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("sha")))
+    light = rows.select("_id", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("sha"))
+    light = checkpoint(light.withColumn("_key", F.unhex(F.substring("sha", 1, 32))))
     copies = light.groupBy("_key").agg(F.count(F.lit(1)).alias("copies"))
-    long = rows.where(F.octet_length("_text") >= WINDOW)
+    long = rows.where(F.octet_length("_text") >= WINDOW).withColumn("_key", _identity(F.col("_text")))
 
-    marks = long.mapInArrow(_anchor_rows, "anchor long, _id long, _key long, low int, high int")
-    folder = f"{shared_folder(spark)}/anchors-{uuid.uuid4().hex}"
-    marks = written(marks, folder)
+    folder = f"{shared_folder(spark)}/repeats-{uuid.uuid4().hex}"
+    marks = long.select("_id", "_key", "_text").mapInArrow(_anchor_rows, "anchor long, _id long, _key binary, low int, high int")
+    marks = written(marks, f"{folder}/marks")
     place = F.shiftright(F.xxhash64("_key", "low"), 16)
-    shared = marks.groupBy("anchor").agg(F.min(place).alias("p"), F.max(place).alias("q"), F.count(F.lit(1)).alias("n"))
-    shared = shared.where(F.col("p") != F.col("q")).select("anchor", (F.col("n") > HOT).alias("hot"))
-    found = marks.join(shared, "anchor").groupBy("_key", "low", "high", "anchor", "hot").agg(F.min("_id").alias("_id"))
-    per_text = checkpoint(found.groupBy("_id", "_key").agg(F.collect_list(F.struct("anchor", "low", "high", "hot")).alias("marks")))
-    remove(spark, folder)
-
-    may_share = key_filter(per_text.select("_key"), "_key")
-    segments = long.where(may_share(F.col("_key"))).join(per_text, ["_id", "_key"]).select("_key", "_text", "marks")
-    segments = segments.mapInArrow(_cut, "anchor long, _key long, low int, segment binary")
-    ranges = segments.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort, "_key long, a int, b int")
+    shared = marks.groupBy("anchor").agg(F.min(place).alias("p"), F.max(place).alias("q"))
+    shared = shared.where(F.col("p") != F.col("q")).select("anchor")
+    found = marks.join(shared, "anchor").groupBy("_key", "low", "high", "anchor").agg(F.min("_id").alias("_id"))
+    per_text = checkpoint(found.groupBy("_id", "_key").agg(F.collect_list(F.struct("anchor", "low", "high")).alias("marks")))
+
+    may_share = key_filter(per_text.select(F.xxhash64("_key").alias("code")), "code")
+    segments = long.where(may_share(F.xxhash64("_key"))).join(per_text, ["_id", "_key"]).select("_key", "_text", "marks")
+    ranges = _repeats(segments.mapInArrow(_cut, UNIT), folder)
     single = copies.where("copies = 1").select("_key")
     ranges = ranges.groupBy("_key").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     ranges = checkpoint(ranges.join(single, "_key"))
-    may_lose = key_filter(ranges.select("_key"), "_key")
-    lost = long.where(may_lose(F.col("_key"))).join(ranges, "_key").select("_key", "_text", "ranges")
-    lost = lost.mapInArrow(_remove, "_key long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    remove(spark, folder)
+    may_lose = key_filter(ranges.select(F.xxhash64("_key").alias("code")), "code")
+    lost = long.where(may_lose(F.xxhash64("_key"))).join(ranges, "_key").select("_key", "_text", "ranges")
+    lost = lost.mapInArrow(_remove, "_key binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return light.join(copies, "_key"), lost if keep_text else lost.drop("kept")
 
 
@@ -368,9 +437,9 @@ def remove_repeats(docs: DataFrame, *, ident: str = "doc_id", text: str = "text"
     copied = light.where((F.col("copies") > 1) & (F.col("n_bytes") >= WINDOW)).select("_key", F.lit(True).alias("_all")).distinct()
     lost = lost.select("_key", F.decode("kept", "utf-8").alias("_kept"))
     changed = checkpoint(lost.unionByName(copied.select("_key", F.lit("").alias("_kept"))))
-    may_change = key_filter(changed.select("_key"), "_key")
-    rows = docs.select(F.xxhash64(text_bytes(text)).alias("_key"), F.struct("*").alias("_row"))
-    rows = rows.withColumn("_may", may_change(F.col("_key")))
+    may_change = key_filter(changed.select(F.xxhash64("_key").alias("code")), "code")
+    rows = docs.select(_identity(text_bytes(text)).alias("_key"), F.struct("*").alias("_row"))
+    rows = rows.withColumn("_may", may_change(F.xxhash64("_key")))
     found = rows.where("_may").join(changed, "_key", "left")
     old = F.col("_row")[text]
     new = F.when(old.isNull(), old).otherwise(F.coalesce("_kept", old))

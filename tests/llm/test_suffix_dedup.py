@@ -34,15 +34,28 @@ def passages():
     return [(500 + i, t, "en", "s", 1) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("hot", [2000, 3])
-def test_same_as_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize(("group", "finer"), [(2 << 20, (20, 1)), (300, (20, 1)), (300, (1,)), (1, (20,)), (1, (20, 1))])
+def test_same_as_brute_force(spark, monkeypatch, group, finer):
+    """Whatever is sorted together, and however what is too much is cut."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", group)
+    monkeypatch.setattr(suffix_dedup._repeats, "__defaults__", (finer,))
     docs = awkward(spark, passages())
     got = sorted((tuple(r) for r in removal_digest(docs).collect()), key=str)
     assert got == brute([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert removal_digest(docs.limit(0)).collect() == []
 
 
+def test_a_passage_in_twenty_thousand_rows(spark):
+    """Its segments meet once: what is sorted does not grow with the copies, and borders differ."""
+    rng = np.random.default_rng(11)
+    passage, short = ("".join(rng.choice(list("abcdefgh "), n)) for n in (260, 190))
+    rows = [(i, f"{i * 7919 % 100003:060d}{passage}{i:060d}") for i in range(20_000)]
+    rows += [(30_000 + i, f"{i:030d}{short}{i * 31:030d}") for i in range(2_000)]
+    got = removal_digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+    assert all(r["n_removed"] >= 260 for r in got if r["doc_id"] < 20_000)
+
+
 def test_real_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = sorted((tuple(r) for r in removal_digest(docs).collect()), key=str)
