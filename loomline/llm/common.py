@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 #: A word, wherever a contract speaks of words: a run of bytes other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 8 << 20
 LONG_MIN = -(1 << 63)
 
 
@@ -30,16 +32,39 @@ def prepare(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; a temporary one is used only where that setting
-    is missing, as in tests.
+    It is the session's ``spark.checkpoint.dir``. Where that is missing, a local master, as in
+    tests, gets a temporary one; a cluster's executors could not read it, so there it is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="loomline-checkpoint-"))
     return context.getCheckpointDir()
 
 
+class Cuts:
+    """Tables of an iteration, written to the shared folder to cut lineage; those replaced are removed."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.count = spark, f"{shared_folder(spark)}/cuts-{uuid.uuid4().hex}", 0
+        self.latest: dict[str, str] = {}
+
+    def cut(self, name: str, df: DataFrame) -> DataFrame:
+        """``df`` from its file; the last table of that name, which it may have been made from, goes."""
+        self.count += 1
+        path = f"{self.folder}/{name}-{self.count}"
+        table = written(df, path)
+        self.drop(name)
+        self.latest[name] = path
+        return table
+
+    def drop(self, name: str) -> None:
+        if name in self.latest:
+            remove(self.spark, self.latest.pop(name))
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write a table to the shared checkpoint folder and cut its lineage."""
     shared_folder(df.sparkSession)
@@ -98,6 +123,6 @@ def unit_hash(*columns: Column, bits: int = 52) -> Column:
     return (high.cast("double") + 0.5) / float(1 << bits)
 
 
-def literal_array(values: list, kind: str) -> Column:
-    """A bounded list of driver values as one array expression."""
-    return F.array(*[F.lit(v).cast(kind) for v in values])
+def literal_array(values: list[int], kind: str) -> Column:
+    """A bounded list of driver numbers as one constant array, which the optimiser reads once."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")

@@ -5,28 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import Cuts
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for each node of an edge; the component is its smallest node.
 
     Every round takes the least label of the neighbours and then the label of the label. Only
-    counts reach the driver. A node of many edges is pre-aggregated before each shuffle.
+    counts reach the driver. A node of many edges is pre-aggregated before each shuffle. Tables of
+    earlier rounds are removed.
     """
+    cuts = Cuts(edges.sparkSession)
     both = edges.select(F.col(a).alias("node"), F.col(b).alias("other")).where(F.col("node") != F.col("other"))
-    both = checkpoint(both.union(both.select("other", "node")).distinct())
-    labels = checkpoint(both.groupBy("node").agg(F.least("node", F.min("other")).alias("component")))
+    both = cuts.cut("edges", both.union(both.select("other", "node")).distinct())
+    labels = cuts.cut("labels", both.groupBy("node").agg(F.least("node", F.min("other")).alias("component")))
     while True:
         seen = labels.select(F.col("node").alias("other"), F.col("component").alias("near"))
         best = both.join(seen, "other").groupBy("node").agg(F.min("near").alias("near"))
         lower = labels.join(best, "node").select("node", F.least("component", "near").alias("low"), "component")
         roots = labels.select(F.col("node").alias("low"), F.col("component").alias("jump"))
-        grown = checkpoint(
+        grown = cuts.cut(
+            "labels",
             lower.join(roots, "low", "left").select(
                 "node", F.least("low", F.coalesce("jump", "low")).alias("component"), F.col("component").alias("was")
-            )
+            ),
         )
         labels = grown.select("node", "component")
         if grown.where("component <> was").isEmpty():
+            cuts.drop("edges")
             return labels

@@ -4,7 +4,7 @@ A first neighbour list comes from cells of random half-spaces. Then, round by ro
 each node's neighbours and reverse neighbours together, with their vectors, and every pair of them
 is offered to both: neighbours of neighbours become neighbours. A query starts at its own node's
 neighbours, and at those of the nearest nodes of a bounded sample, and repeatedly expands the
-nearest nodes it has not expanded.
+nearest nodes it has not expanded. Equal vectors are one node; what is found is expanded to ids.
 
 Largest inner product becomes nearness on a sphere by one more component, which fills each vector
 up to the greatest length; a query has zero there. Vectors travel as bytes with a scale; what is
@@ -21,11 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, prepare
+from .common import Cuts, checkpoint, prepare
 
 NEIGHBOURS = 50
 CELL = 512
 TREES = 12
+#: A tree has at least this many half-spaces, so that lists come from the rounds at every size.
+LEAST_BITS = 2
 ROUNDS = 3
 #: Neighbours of a node that take part in a round, fresh ones before old; as many reverse ones do.
 MEMBERS = 36
@@ -157,24 +159,22 @@ def _chosen(ids: bytes, fresh: bytes, node: int, members: int) -> np.ndarray:
     return np.lexsort((mixed, old))[:members]
 
 
-def _messages(members: int) -> Callable:
-    """Nodes to (to, other, fresh, bound, vec): each asks its chosen neighbours, and shows itself to them."""
+def _edges(members: int) -> Callable:
+    """Nodes to (center, member, fresh): each with its chosen neighbours."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            to, other, fresh, bound, vec = [], [], [], [], []
-            for node, ids, sims, new, vector in zip(*(c.to_pylist() for c in batch.columns)):
+            center, member, fresh = [], [], []
+            for node, ids, new in zip(*(c.to_pylist() for c in batch.columns)):
                 at = _chosen(ids, new, node, members)
-                to.append(np.frombuffer(ids, np.int64)[at])
-                other.append(np.full(len(at), node))
+                center.append(np.full(len(at), node))
+                member.append(np.frombuffer(ids, np.int64)[at])
                 fresh.append(np.frombuffer(new, np.uint8)[at])
-                bound.append(np.full(len(at), np.frombuffer(sims, np.float32)[-1] if len(sims) else -2, np.float32))
-                vec.extend([vector] * len(at))
-            if to:
+            if center:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(to)), pa.array(np.concatenate(other)), pa.array(np.concatenate(fresh).astype(bool)), pa.array(np.concatenate(bound)), pa.array(vec, pa.binary())],
-                    ["to", "other", "fresh", "bound", "vec"],
-                )
+                    [pa.array(np.concatenate(center)), pa.array(np.concatenate(member)), pa.array(np.concatenate(fresh).astype(bool))],
+                    ["center", "member", "fresh"],
+                )
 
     return run
 
@@ -194,22 +194,15 @@ def _aged(members: int) -> Callable:
     return run
 
 
-def _local_join(members: int, offers: int) -> Callable:
-    """Rows (center, member, fresh, bound, vec) sorted by center to offers: lists of new near nodes for members."""
+def _local_join(offers: int) -> Callable:
+    """Rows (center, member, fresh, bound, vec) sorted by center, each member once, to offers: lists of new near nodes for members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for _, (ids, fresh, bound, vectors) in groups(batches):
-            ids = np.array(ids)
-            _, at = np.unique(ids, return_index=True)
-            fresh = np.array(fresh)
-            if len(at) > 2 * members:
-                mixed = ids[at].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                at = at[np.lexsort((mixed, ~fresh[at]))[: 2 * members]]
-            if len(at) < 2:
+            if len(ids) < 2:
                 continue
-            ids, fresh, bound = ids[at], fresh[at], np.array(bound, np.float32)[at]
-            x = unpack([vectors[i] for i in at])
+            ids, fresh, bound, x = np.array(ids), np.array(fresh), np.array(bound, np.float32), unpack(vectors)
             sims = x @ x.T
             np.fill_diagonal(sims, -np.inf)
             sims[np.ix_(~fresh, ~fresh)] = -np.inf
@@ -232,73 +225,91 @@ def _dealt(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key)
 
 
-def _graph_of(lists: DataFrame, state: DataFrame, k: int) -> DataFrame:
-    """The state with lists merged in."""
+def _graph_of(lists: DataFrame, state: DataFrame, k: int, cuts: Cuts) -> DataFrame:
+    """The state with lists merged in, in place of the last graph."""
     none = F.lit(None).cast("binary")
     own = state.select("id", "ids", "sims", "fresh", "vec")
     rows = own.unionByName(lists.select("id", "ids", "sims", none.alias("fresh"), none.alias("vec")))
-    return checkpoint(_dealt(rows, "id").mapInArrow(_merge(k), f"{LIST}, fresh binary, vec binary"))
+    return cuts.cut("graph", _dealt(rows, "id").mapInArrow(_merge(k), f"{LIST}, fresh binary, vec binary"))
 
 
 def usable(vectors: DataFrame, ident: str, vector: str) -> DataFrame:
     """(id, v double array) of the vectors that take part: finite, not zero; one row an id."""
     v = F.col(vector).cast("array<double>")
-    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = vectors.select(F.col(ident).cast("long").alias("id"), v.alias("v")).where(F.coalesce(finite, F.lit(False)))
+    rows = vectors.select(F.col(ident).cast("long").alias("id"), F.transform(v, lambda x: x + F.lit(0.0)).alias("v"))  # no negative zero
+    rows = rows.where(F.coalesce(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)))
     return rows.where(F.col("id").isNotNull() & F.exists("v", lambda x: x != 0)).groupBy("id").agg(F.min("v").alias("v"))
 
 
+def distinct_vectors(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, v), one for each vector of (id, v) with its least id, and (id, node) of every row.
+
+    Vectors are told apart by 128 bits of hashes.
+    """
+    keyed = rows.select("id", F.xxhash64("v").alias("h"), F.xxhash64(F.lit(1), "v").alias("g"), "v")
+    nodes = checkpoint(keyed.groupBy("h", "g").agg(F.min("id").alias("id"), F.min("v").alias("v")))
+    of = keyed.select("id", "h", "g").join(nodes.select("h", "g", F.col("id").alias("node")), ["h", "g"])
+    return nodes.select("id", "v"), checkpoint(of.select("id", "node"))
+
+
 def build(rows: DataFrame, *, k: int = NEIGHBOURS, cell: int = CELL, trees: int = TREES, rounds: int = ROUNDS, members: int = MEMBERS, offers: int = OFFERS, seed: int = 7) -> tuple[DataFrame, dict[int, bytes]]:
     """The neighbour graph (id, ids, sims, fresh, vec) of (id, v), every row's ``k`` nearest found, and the sampled nodes.
 
     The driver holds ``SAMPLE`` vectors, by least hash of the id, and for the half-spaces and
     as starts of searches.
-    A cell of more than ``2 * cell`` rows, as of equal vectors, is divided by a hash of the id.
+    A cell of more than ``2 * cell`` rows is divided by a hash of the id; vectors are distinct.
     """
     spark = rows.sparkSession
     prepare(spark)
-    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    sums = rows.agg(F.max(squares).alias("m"), F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
-    longest = float(np.sqrt(sums["m"] or 1.0))
+    sums = rows.agg(F.max(F.array_max(F.transform("v", F.abs))).alias("m"), F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    size, greatest = sums["d"] or 1, sums["m"] or 1.0
+    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / greatest) * (x / greatest))
+    longest = float(np.sqrt(rows.agg(F.max(squares)).first()[0] or 1.0))
 
     def lift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x = np.array(batch.column(1).to_pylist()) / longest
+                lists = batch.column(1).to_pylist()
+                x = np.array([v + [0.0] * (size - len(v)) for v in lists]) / greatest / longest
                 rest = np.sqrt(np.maximum(0, 1 - (x * x).sum(axis=1, keepdims=True)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), _binary(pack(np.hstack([x, rest])))], ["id", "vec"])
 
-    packed = checkpoint(rows.mapInArrow(lift, "id long, vec binary"))
-    bits = max(0, int(np.ceil(np.log2(max(1, sums["n"]) / cell))))
+    cuts = Cuts(spark)
+    packed = cuts.cut("packed", rows.mapInArrow(lift, "id long, vec binary"))
+    bits = max(LEAST_BITS, int(np.ceil(np.log2(max(1, sums["n"]) / cell))))
     sample = packed.orderBy(F.xxhash64(F.lit(seed), "id")).limit(SAMPLE).collect()
     rng = np.random.default_rng(seed)
-    directions = rng.normal(size=(trees if bits else 1, bits, (sums["d"] or 1) + 1)).astype(np.float32)
+    directions = rng.normal(size=(trees, bits, size + 1)).astype(np.float32)
     medians = np.zeros(directions.shape[:2], np.float32)
-    if sample and bits:
+    if sample:
         medians = np.median(unpack([bytes(r["vec"]) for r in sample]) @ directions.transpose(0, 2, 1), axis=1).astype(np.float32)
-    filed = checkpoint(packed.mapInArrow(_spread(directions, medians), "cell long, id long, vec binary"))
+    filed = cuts.cut("filed", packed.mapInArrow(_spread(directions, medians), "cell long, id long, vec binary"))
     large = filed.groupBy("cell").count().where(F.col("count") > 2 * cell).select("cell", F.ceil(F.col("count") / cell).alias("parts"))
     part = F.pmod(F.xxhash64("id", "cell"), F.coalesce("parts", F.lit(1)))
     filed = filed.join(large, "cell", "left").select(F.xxhash64("cell", part).alias("cell"), "id", "vec")
     near = _dealt(filed, "cell").mapInArrow(_cells(k), LIST)
     empty = F.lit(b"").cast("binary")
-    graph = _graph_of(near, packed.select("id", empty.alias("ids"), empty.alias("sims"), empty.alias("fresh"), "vec"), k)
-    for _ in range(rounds if bits else 0):
-        sent = graph.mapInArrow(_messages(members), "to long, other long, fresh boolean, bound float, vec binary")
-        shown = sent.select(F.col("to").alias("center"), F.col("other").alias("member"), "fresh", "bound", "vec")
-        bound = F.substring("sims", -4, 4)
-        asked = sent.select("to", "other", "fresh").join(graph.select(F.col("id").alias("to"), bound.alias("b"), "vec"), "to")
-        asked = asked.select(F.col("other").alias("center"), F.col("to").alias("member"), "fresh", "b", "vec").mapInArrow(
-            _bounds, "center long, member long, fresh boolean, bound float, vec binary"
-        )
-        offered = _dealt(shown.unionByName(asked), "center").mapInArrow(_local_join(members, offers), LIST)
+    graph = _graph_of(near, packed.select("id", empty.alias("ids"), empty.alias("sims"), empty.alias("fresh"), "vec"), k, cuts)
+    cuts.drop("filed")
+    cuts.drop("packed")
+    for _ in range(rounds):
+        forward = graph.select("id", "ids", "fresh").mapInArrow(_edges(members), "center long, member long, fresh boolean")
+        # Of a node that many neighbour, few reverse ones take part: the limit holds before the shuffle, too.
+        place = F.row_number().over(Window.partitionBy("center").orderBy(F.desc("fresh"), F.xxhash64("member", "center")))
+        reverse = forward.select(F.col("member").alias("center"), F.col("center").alias("member"), "fresh")
+        reverse = reverse.withColumn("_place", place).where(F.col("_place") <= members).drop("_place")
+        pairs = forward.union(reverse).groupBy("center", "member").agg(F.max("fresh").alias("fresh"))
+        bound = F.when(F.octet_length("sims") >= 4 * k, F.substring("sims", -4, 4))
+        joined = pairs.join(graph.select(F.col("id").alias("member"), bound.alias("b"), "vec"), "member")
+        shown = joined.select("center", "member", "fresh", "b", "vec").mapInArrow(_bounds, "center long, member long, fresh boolean, bound float, vec binary")
+        offered = _dealt(shown, "center").mapInArrow(_local_join(offers), LIST)
         aged = graph.mapInArrow(_aged(members), f"{LIST}, fresh binary, vec binary")
-        graph = _graph_of(offered, aged, k)
+        graph = _graph_of(offered, aged, k, cuts)
     return graph, {r["id"]: bytes(r["vec"]) for r in sample}
 
 
 def _bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The last similarity of a list, from its bytes; -2 for an empty list."""
+    """The last similarity of a full list, from its bytes; -2 for another."""
     least = np.float32(-2).tobytes()
     for batch in batches:
         bound = np.frombuffer(b"".join(b or least for b in batch.column(3).to_pylist()), np.float32)
@@ -387,17 +398,18 @@ def greedy(graph: DataFrame, sample: dict[int, bytes], queries: DataFrame, *, ex
             yield _out(rows, *_STATE)
 
     schema = f"{LIST}, done binary, qvec binary, moved boolean"
-    state = checkpoint(graph.join(queries.select("id"), "id", "left_semi").select("id", "vec").mapInArrow(start, schema))
+    cuts = Cuts(graph.sparkSession)
+    state = cuts.cut("state", graph.join(queries.select("id"), "id", "left_semi").select("id", "vec").mapInArrow(start, schema))
     count = state.count()
     none = F.lit(None).cast("binary")
     for _ in range(steps if count else 0):
-        frontier = checkpoint(state.select("id", "ids", "sims", "done", "qvec").mapInArrow(_expand(expand), "node long, query long, qvec binary"))
+        frontier = cuts.cut("frontier", state.select("id", "ids", "sims", "done", "qvec").mapInArrow(_expand(expand), "node long, query long, qvec binary"))
         near = frontier.join(graph.select(F.col("id").alias("node"), "ids"), "node").select("query", "qvec", "ids")
         pairs = near.mapInArrow(_candidates, "cand long, query long, qvec binary").dropDuplicates(["cand", "query"])
         pairs = pairs.join(graph.select(F.col("id").alias("cand"), "vec"), "cand").select("query", "cand", "qvec", "vec")
         found = pairs.mapInArrow(_similar, LIST)
         rows = state.drop("moved").unionByName(found.select("id", "ids", "sims", none.alias("done"), none.alias("qvec")))
-        state = checkpoint(_dealt(rows, "id").mapInArrow(_advance(expand, pool), schema))
+        state = cuts.cut("state", _dealt(rows, "id").mapInArrow(_advance(expand, pool), schema))
         if state.where("moved").count() <= STIRRED * count:
             break
     return state.select(F.col("id").alias("query"), F.lit(None).cast("binary").alias("qvec"), "ids").mapInArrow(
@@ -410,15 +422,28 @@ def nearest(vectors: DataFrame, *, ident: str = "vec_id", vector: str = "embeddi
 
     The score is the inner product of the original vectors, summed in double precision; ties go to
     the smaller id. Null ids and vectors that are null, zero or not finite take no part; rows of
-    one id count once, by the least vector; fewer candidates than ``k`` are all returned; vectors
-    are of one size. Other columns are not read.
+    one id count once, by the least vector; of vectors of unequal size the shorter count as filled
+    with zeros; fewer candidates than ``k`` are all returned. Other columns are not read.
+
+    Graph and search hold each distinct vector once. Of a vector found, its ``k + 1`` smallest ids
+    are candidates, the query's own vector included: no others of it can be among the ``k``.
     """
     rows = checkpoint(usable(vectors, ident, vector))
-    graph, sample = build(rows, **index)
-    found = greedy(graph, sample, rows.where(F.col("id") % every == 0).select("id"))
-    pairs = found.join(rows.select(F.col("id").alias("query"), F.col("v").alias("q")), "query")
-    pairs = pairs.join(rows.select(F.col("id").alias("cand"), "v"), "cand")
-    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-    scored = pairs.select(F.col("query").alias("query_id"), F.col("cand").alias("vec_id"), product.alias("score"))
+    nodes, of = distinct_vectors(rows)
+    graph, sample = build(nodes, **index)
+    asked = of.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "node")
+    own = asked.select("node").distinct()
+    found = greedy(graph, sample, own.select(F.col("node").alias("id")))
+    found = found.union(own.select("node", "node"))
+    pairs = found.join(nodes.select(F.col("id").alias("query"), F.col("v").alias("q")), "query")
+    pairs = pairs.join(nodes.select(F.col("id").alias("cand"), "v"), "cand")
+    product = F.aggregate(F.zip_with("q", "v", lambda a, b: F.coalesce(a * b, F.lit(0.0))), F.lit(0.0), lambda a, b: a + b)
+    scored = pairs.select("query", "cand", product.alias("score"))
+
+    least = F.row_number().over(Window.partitionBy("node").orderBy("id"))
+    members = of.withColumn("_place", least).where(F.col("_place") <= k + 1).select(F.col("node").alias("cand"), F.col("id").alias("vec_id"))
+    near = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
+    best = scored.join(members, "cand").withColumn("_place", near).where(F.col("_place") <= k + 1)
+    named = asked.join(best.select(F.col("query").alias("node"), "vec_id", "score"), "node").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return named.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,6 +1,6 @@
 import numpy as np
 
-from loomline.llm.nn_descent import merged, nearest, pack, unpack
+from loomline.llm.nn_descent import build, distinct_vectors, merged, nearest, pack, unpack, usable
 
 
 def exact(ids, x, k=20, every=20):
@@ -24,8 +24,10 @@ def test_recall_and_scores(spark):
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     local = rows.toPandas()
     x = np.array(local["embedding"].tolist(), np.float64)
-    found = nearest(rows, cell=128).collect()
-    assert recall(found, exact(local["vec_id"].tolist(), x)) > 0.9
+    want = exact(local["vec_id"].tolist(), x)
+    assert recall(nearest(rows, cell=128).collect(), want) > 0.9
+    found = nearest(rows).collect()
+    assert recall(found, want) > 0.9
     place = {v: i for i, v in enumerate(local["vec_id"])}
     for r in found[:200]:
         assert abs(r["score"] - float(x[place[r["query_id"]]] @ x[place[r["vec_id"]]])) < 1e-12
@@ -64,3 +66,50 @@ def test_packing_and_merging():
     assert np.abs(unpack([r.tobytes() for r in pack(x)]) - x).max() < 0.02
     ids, sims = merged(np.array([3, 1, 3, 2]), np.array([0.5, 0.9, 0.5, 0.9], np.float32), 2)
     assert ids.tolist() == [1, 2] and sims.tolist() == [np.float32(0.9)] * 2
+
+
+def test_rounds_find_neighbours_at_small_sizes(spark):
+    """At 500 rows, few trees leave the lists poor; the rounds make them good."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    local = rows.toPandas()
+    x = np.array(local["embedding"].tolist(), np.float64)
+    ids = np.array(local["vec_id"])
+    y = x / np.linalg.norm(x, axis=1).max()
+    lifted = np.hstack([y, np.sqrt(np.maximum(0, 1 - (y * y).sum(axis=1, keepdims=True)))])
+    order = np.argsort(-np.where(np.eye(len(x)) > 0, -9, lifted @ lifted.T), axis=1)[:, :10]
+    nodes, _ = distinct_vectors(usable(rows, "vec_id", "embedding"))
+    shares = []
+    for rounds in (0, 3):
+        graph, _ = build(nodes, trees=2, rounds=rounds, k=20)
+        lists = {r["id"]: set(np.frombuffer(r["ids"], np.int64).tolist()) for r in graph.collect()}
+        assert all(len(v) <= 20 for v in lists.values())
+        place = {int(i): n for n, i in enumerate(ids)}
+        shares.append(np.mean([len(lists[i] & set(ids[order[n]].tolist())) / 10 for i, n in place.items()]))
+    assert shares[1] > 0.85 and shares[1] > shares[0] + 0.15
+    assert recall(nearest(rows).collect(), exact(ids.tolist(), x)) > 0.95
+
+
+def test_a_third_of_the_rows_are_copies(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 12))
+    x[::3] = x[0]
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = nearest(docs).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: (r["query_id"], r["rank"])):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    copies = [q for q in got if q % 3 == 0]
+    norm = x[0] @ x[0]
+    want = exact(list(range(3000)), x)
+    for q in copies:  # whichever copies come first, they are the smallest ids
+        mine = [i for i in got[q] if i % 3 == 0]
+        assert mine == [i for i in range(0, 99, 3) if i != q][: len(mine)]
+    assert recall(found, want) > 0.9 and norm > 0
+
+
+def test_unequal_sizes_and_great_components(spark):
+    rows = [(0, [1e160, 2e160]), (1, [3e160]), (2, [1e160, 0.0, 1e160]), (20, [0.0, 1e-3]), (3, [-0.0, 5.0]), (4, [0.0, 5.0])]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in nearest(docs).orderBy("query_id", "rank").collect()]
+    assert [v for q, _, v in got if q == 0] == [1, 2, 3, 4, 20]
+    assert [v for q, _, v in got if q == 20] == [0, 3, 4, 1, 2]
