@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, checkpoint
+from .common import WORD, checkpoint, text_bytes
 
 #: Relative weights dealt to the sources in code point order, null last, and repeated.
 CYCLE = (5, 2, 1)
 MAX_EPOCHS = 3
-ROWS_PER_BIN = 50_000
+ROWS_PER_BIN = 10_000
+#: Equal rows that are numbered at a time.
+COPIES = 4096
 
 
 def word_count(column: str = "text") -> Column:
@@ -24,17 +26,30 @@ def word_count(column: str = "text") -> Column:
 
 
 def quality(size: Column, n_bytes: Column) -> Column:
-    """Quality weight of a text from its mean bytes per word: 2 in the range of prose, else 1."""
-    return F.when((n_bytes >= 4 * size) & (n_bytes <= 10 * size) & (size > 0), F.lit(2.0)).otherwise(F.lit(1.0))
+    """Quality weight of a text, 0.5 to 2.5: its words up to 200 in 200ths, one more at 4 to 10 bytes a word, as prose has."""
+    prose = (n_bytes >= 4 * size) & (n_bytes <= 10 * size) & (size > 0)
+    return F.lit(0.5) + F.least(size, F.lit(200)) / F.lit(200.0) + F.when(prose, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def exponential_key(ident: Column, weight: Column, seed: str) -> Column:
-    """-ln(u) / weight, with u from the leading 52 bits of an md5 of seed and id."""
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(ident.cast("string"), F.lit(""))).cast("binary"))
+def exponential_key(row: Column, weight: Column, seed: str) -> Column:
+    """-ln(u) / weight, with u from the leading 52 bits of an md5 of seed and the row's own string."""
+    digest = F.md5(F.concat(F.lit(seed + ":"), row).cast("binary"))
     drawn = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     return -F.log(drawn) / weight
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with ``_copy``, a number from 0 among the rows equal to them.
+
+    Equal rows are counted, with map-side sums, and told apart again by numbers in blocks, so that
+    no task sorts or holds them.
+    """
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    blocks = counted.withColumn("_low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPIES).cast("long"))))
+    each = F.sequence(F.col("_low"), F.least(F.col("_low") + COPIES, F.col("_n")) - 1)
+    return blocks.withColumn("_copy", F.explode(each)).drop("_n", "_low")
+
+
 def source_targets(sizes: DataFrame, *, cycle: tuple[int, ...] = CYCLE, epochs: int = MAX_EPOCHS) -> DataFrame:
     """Targets of (source, source_size) rows, as source, source_size, target.
 
@@ -82,23 +97,24 @@ def mix(
     epochs, plus size again where the document lies in its source's fractional selection; the one
     document at the end of the budget gives its remaining words, or, with ``whole_documents``, is
     taken or left as a whole, whichever comes nearer. The order within a source is a function of
-    seed, id and weight, so reruns agree.
+    seed, id, text, weight and, among equal rows, their number, so reruns agree.
 
     Null and empty texts have size 0 and are never taken; a null source is a source of its own,
-    last in order; repeated rows count each; an empty table gives no rows; sources of size 0 have
-    target 0. A hot source is summed in bins of its keys and only the bin totals meet in a task.
+    last in order; a null id is an id like any other; rows of one id, and repeated rows, are drawn
+    each by itself; an empty table gives no rows; sources of size 0 have target 0. A hot source is
+    summed in bins of its keys and only the bin totals meet in a task.
     """
     rows = docs.select(
         F.col(ident).alias("_id"),
         F.col(source).alias("source"),
         word_count(text).alias("size"),
         F.octet_length(F.coalesce(F.col(text), F.lit(""))).alias("_bytes"),
+        F.md5(text_bytes(text)).alias("_text"),
     )
-    rows = checkpoint(
-        rows.select(
-            "_id", "source", "size", exponential_key(F.col("_id"), quality(F.col("size"), F.col("_bytes")), seed).alias("_key")
-        )
-    )
+    rows = numbered(rows)
+    own = F.concat_ws(":", F.coalesce(F.col("_id").cast("string"), F.lit("")), "_text", F.col("_copy").cast("string"))
+    key = exponential_key(own, quality(F.col("size"), F.col("_bytes")), seed)
+    rows = checkpoint(rows.select("_id", "source", "size", "_text", "_copy", key.alias("_key")))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     bins = sizes.select("source", F.ceil(F.col("_rows") / ROWS_PER_BIN).alias("_bins"))
     targets = source_targets(sizes.drop("_rows"), cycle=cycle, epochs=epochs).join(
@@ -113,7 +129,7 @@ def mix(
     offsets = totals.select(
         F.col("source").alias("_o"), F.col("_bin").alias("_b"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset")
     )
-    inside = Window.partitionBy("source", "_bin").orderBy("_key", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "_bin").orderBy("_key", "_id", "_text", "_copy").rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.withColumn("_end", F.sum("size").over(inside)).join(
         offsets, F.col("source").eqNullSafe(F.col("_o")) & (F.col("_bin") == F.col("_b"))
     )
@@ -137,12 +153,14 @@ def mix(
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         coalesce(strlen(text), 0) AS n_bytes
+         coalesce(strlen(text), 0) AS n_bytes, md5(coalesce(text, '')) AS body
   FROM documents
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, source, body) - 1 AS copy FROM sized
 ), keyed AS (
-  SELECT *, -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
-         / (CASE WHEN size > 0 AND n_bytes >= 4 * size AND n_bytes <= 10 * size THEN 2.0 ELSE 1.0 END) AS k
-  FROM sized
+  SELECT *, -ln((('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '') || ':' || body || ':' || copy), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0)
+         / (0.5::DOUBLE + least(size, 200) / 200.0::DOUBLE + CASE WHEN size > 0 AND n_bytes >= 4 * size AND n_bytes <= 10 * size THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS k
+  FROM numbered
 ), sources AS (
   SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS turn
   FROM sized GROUP BY source
@@ -160,7 +178,7 @@ WITH sized AS (
   SELECT source, source_size, least(lim, coalesce((SELECT level FROM chosen) * w, lim)) AS target FROM levels
 ), summed AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS e,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k, d.doc_id, d.body, d.copy ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS e,
          CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 0 END AS full_epochs
   FROM keyed d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 )

@@ -3,8 +3,9 @@ from collections import defaultdict
 import duckdb
 import pytest
 from helpers import awkward
+from pyspark.sql import functions as F
 
-from loomline.llm.mixing import CYCLE, mix, source_targets
+from loomline.llm.mixing import CYCLE, MIX_SQL, mix, numbered, source_targets
 
 
 def filled(sizes, cycle=CYCLE, epochs=3):
@@ -49,10 +50,34 @@ def test_taken(spark):
 
 
 def test_same_as_sql(spark):
-    from loomline.llm.mixing import MIX_SQL
-
     con = duckdb.connect()
     con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
     want = sorted((r[0], r[1], r[4]) for r in con.sql(MIX_SQL).fetchall())
     got = mix(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
     assert sorted((r["doc_id"], r["size"], r["taken"]) for r in got) == want
+
+
+def test_null_and_equal_ids_agree_between_runs_and_are_drawn_apart(spark):
+    rows = [(None, "w " * (1 + i % 50), "a") for i in range(2000)] + [(7, "one text of five words", "a")] * 5000
+    rows += [(i, "other words here", "b") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = mix(docs).collect()
+    assert sorted(map(str, first)) == sorted(map(str, mix(docs.repartition(7)).collect()))
+    assert len(first) == len(rows)
+    # The rows of one id fall on both sides of the selection.
+    assert len({r["taken"] for r in first if r["doc_id"] == 7}) >= 2
+    assert len({r["taken"] for r in first if r["doc_id"] is None and r["size"] == 9}) == 2
+
+
+def test_repeated_rows_are_numbered_without_gaps(spark):
+    rows = spark.createDataFrame([(1, "x")] * 10_000 + [(2, None)] * 4096 + [(None, "y")], "id long, t string")
+    got = numbered(rows).groupBy("id", "t").agg(F.count("_copy"), F.min("_copy"), F.max("_copy"), F.countDistinct("_copy")).collect()
+    assert {tuple(r) for r in got} == {(1, "x", 10_000, 0, 9999, 10_000), (2, None, 4096, 0, 4095, 4096), (None, "y", 1, 0, 0, 1)}
+
+
+def test_same_as_sql_with_repeats(spark):
+    docs = awkward(spark).select("doc_id", "text", "source")
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    want = sorted(map(str, ((r[0], r[1], r[4]) for r in con.sql(MIX_SQL).fetchall())))
+    assert sorted(str((r["doc_id"], r["size"], r["taken"])) for r in mix(docs).collect()) == want
