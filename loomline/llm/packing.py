@@ -1,6 +1,7 @@
 """Packing of tokenised documents into fixed-length sequences by first-fit decreasing.
 
-Pieces are dealt at random into groups of bounded size; within a group the longest piece first
+A document's whole sequences stand alone; what it has beyond them is one shorter piece. Documents
+are dealt by row at random into groups of bounded size; within a group the longest piece first
 goes to the first open sequence with room, found by descending a tournament tree of the free
 capacities. A group is one small task's work, so any number of documents packs in parallel.
 """
@@ -14,7 +15,6 @@ from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -31,6 +31,8 @@ SPACE = "\u0120"
 # Fixed value: how byte-level tokenizers divide a text before merging.
 BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 END_ID = b"\0\0\0\0"
+#: Numbers from here on are those of sequences of one whole piece.
+ALONE = 1 << 62
 
 PIECE_SCHEMA = "_id {0}, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -205,22 +207,28 @@ def pack(
 
     Returns ``ident``, start, length, ids_crc32, doc_tokens, sequence_id, offset. A document's ids
     end with id 0; ids beyond whole sequences make one shorter piece. Null and empty texts are the
-    end alone; repeated rows are packed each by itself; an empty table gives no rows; equal pieces
-    tie by id and start. Other columns are not read. A group holds about ``group_rows`` pieces.
+    end alone; null ids stay null; repeated rows are dealt and packed each by itself; an empty
+    table gives no rows; equal pieces of a group tie by row. Other columns are not read. A group
+    holds about ``group_rows`` documents, however many of them are equal: rows are dealt by their
+    place in the written table of pieces, which a lost executor does not change.
     """
     prepare(docs.sparkSession)
     kind = docs.schema[ident].dataType.simpleString()
     texts = docs.select(F.col(ident).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     pieces = checkpoint(texts.mapInArrow(cut(tokenizer_path, sequence), PIECE_SCHEMA.format(kind)))
-    groups = max(1, -(-pieces.count() // group_rows))
-
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "_id", "start"], ascending=[False, True, True], kind="stable")
-        where = first_fit(group["length"].tolist(), sequence)
-        return group.assign(
-            sequence_id=[(int(g) << 32) + b for g, (b, _) in zip(group["_group"], where)], offset=[o for _, o in where]
-        ).drop(columns="_group")
-
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "_id", "start", "ids_crc32"), F.lit(groups)))
-    packed = dealt.groupBy("_group").applyInPandas(fit, PIECE_SCHEMA.format(kind) + ", sequence_id long, offset long")
-    return packed.withColumnRenamed("_id", ident)
+    pieces = pieces.withColumn("_row", F.monotonically_increasing_id())
+    whole = pieces.where(F.col("length") == sequence)
+    rest = pieces.where(F.col("length") < sequence)
+    groups = max(1, -(-rest.count() // group_rows))
+
+    def fit(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("length", "descending"), ("_row", "ascending")])
+        placed = first_fit(group["length"].to_pylist(), sequence)
+        base = group["_group"][0].as_py() << 32
+        ids, offsets = pa.array([base + b for b, _ in placed], pa.int64()), pa.array([o for _, o in placed], pa.int64())
+        return group.drop_columns(["_row", "_group"]).append_column("sequence_id", ids).append_column("offset", offsets)
+
+    dealt = rest.withColumn("_group", F.pmod(F.xxhash64(F.lit(seed), "_row"), F.lit(groups)))
+    packed = dealt.groupBy("_group").applyInArrow(fit, PIECE_SCHEMA.format(kind) + ", sequence_id long, offset long")
+    alone = whole.withColumn("sequence_id", F.col("_row") + F.lit(ALONE)).withColumn("offset", F.lit(0).cast("long")).drop("_row")
+    return packed.unionByName(alone).withColumnRenamed("_id", ident)

@@ -74,3 +74,13 @@ def test_little_padding(spark):
     sequences = check(docs, pack(docs, tokenizer_path=PATH).collect())
     used = sum(n for spans in sequences.values() for _, n in spans)
     assert used / (1024 * len(sequences)) > 0.99
+
+
+def test_null_ids_and_repeated_rows_are_dealt_over_groups(spark):
+    big = (1 << 60) + 1
+    rows = [(None, "same text")] * 4000 + [(big, "same text")] * 4000 + [(big + 2, "w " * 1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pack(docs, tokenizer_path=PATH, group_rows=1000).collect()
+    check(docs, got)
+    assert len({r["sequence_id"] >> 32 for r in got if r["length"] < 1024}) >= 8
+    assert {r["doc_id"] for r in got} == {None, big, big + 2}
