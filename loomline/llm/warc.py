@@ -3,7 +3,7 @@
 A revisit carries no body. It stands for the latest earlier full response of its canonical URL,
 provided the validators agree; the response's headers are then updated by those that a 304 may
 change. The as-of join is one window over (url, time bin) plus a carry between bins, so that a hot
-URL is spread over many tasks; bodies are joined at the end, by record id.
+URL is spread over many tasks; headers and bodies are joined at the end, by the record found.
 """
 
 from __future__ import annotations
@@ -87,26 +87,28 @@ def resolve(records: DataFrame, *, bins: int = TIME_BINS) -> DataFrame:
     'revisit'; rows of another or null kind, and responses without url or time, serve nobody. The source is the
     latest response with a smaller ``ts``, the greatest record_id among equal times. ``outcome``
     is 'resolved', 'validator_mismatch' (source_id is told, the revisit's own headers stand, no
-    body) or 'no_prior' (also where the revisit's url or ts is null). Repeated revisits are
-    resolved one by one; a repeated response serves as one. Other columns are not read.
+    body) or 'no_prior' (also where the revisit's url or ts is null). Null headers count as none
+    and a null body stays null. Repeated revisits are resolved one by one; of repeated responses,
+    equal in record_id, url and ts, the greatest by headers and then body stands, both from one
+    row; a null record_id is an id like any other. An empty table gives no rows. Other columns
+    are not read.
     """
-    light = checkpoint(
-        records.where(F.col("kind").isin("response", "revisit")).select(
-            "record_id",
-            canonical_url(F.col("url")).alias("url_key"),
-            F.col("ts").cast("long").alias("ts"),
-            F.col("kind"),
-            lower_keys(F.col("headers")).alias("headers"),
-        )
+    keyed = records.where(F.col("kind").isin("response", "revisit")).select(
+        "record_id",
+        canonical_url(F.col("url")).alias("url_key"),
+        F.col("ts").cast("long").alias("ts"),
+        F.col("kind"),
+        F.map_entries(lower_keys(F.col("headers"))).alias("headers"),
+        "body",
     )
+    light = checkpoint(keyed.select("record_id", "url_key", "ts", "kind", F.when(F.col("kind") == "revisit", F.col("headers")).alias("headers")))
     known = light.where(F.col("url_key").isNotNull() & F.col("ts").isNotNull())
     low, high = known.agg(F.min("ts"), F.max("ts")).first()
     width = max(1, ((high or 0) - (low or 0)) // bins + 1)
-    known = known.withColumn("_bin", F.expr(f"(ts - {low or 0}) div {width}"))
+    known = known.withColumn("_bin", F.floor((F.col("ts").cast("double") - float(low or 0)) / float(width)))
 
-    full = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "headers"))
-    at = Window.partitionBy("url_key", "_bin").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     newest = F.when(F.col("kind") == "response", F.struct("ts", "record_id"))
+    at = Window.partitionBy("url_key", "_bin").orderBy("ts").rangeBetween(Window.unboundedPreceding, -1)
     found = known.withColumn("_in", F.max(newest).over(at)).where(F.col("kind") == "revisit")
     per_bin = known.groupBy("url_key", "_bin").agg(F.max(newest).alias("_last"))
     before = Window.partitionBy("url_key").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -114,58 +116,70 @@ def resolve(records: DataFrame, *, bins: int = TIME_BINS) -> DataFrame:
         F.col("url_key").alias("_u"), F.col("_bin").alias("_b"), F.max("_last").over(before).alias("_carried")
     )
     found = found.join(carried, (F.col("url_key") == F.col("_u")) & (F.col("_bin") == F.col("_b")), "left")
-    found = found.select(
-        "record_id", "url_key", "headers", F.coalesce("_in", "_carried")["record_id"].alias("source_id")
-    )
+    found = found.select("record_id", "url_key", "headers", F.coalesce("_in", "_carried").alias("_source"))
     astray = light.where((F.col("kind") == "revisit") & (F.col("url_key").isNull() | F.col("ts").isNull()))
-    found = found.unionByName(astray.select("record_id", "url_key", "headers", F.lit(None).cast(light.schema["record_id"].dataType).alias("source_id")))
-
-    stored = known.where(full.isNotNull()).groupBy("record_id").agg(F.max(F.struct("ts", F.map_entries("headers").alias("h"))).alias("_h"))
-    stored = stored.select(F.col("record_id").alias("_sid"), F.map_from_entries(F.col("_h.h")).alias("_stored"))
-    joined = found.join(stored, F.col("source_id") == F.col("_sid"), "left")
-    outcome = F.when(F.col("source_id").isNull(), "no_prior").otherwise(validator_outcome(F.col("_stored"), F.col("headers")))
-    judged = joined.withColumn("outcome", outcome).withColumn(
-        "headers", F.when(F.col("outcome") == "resolved", merge_headers(F.col("_stored"), F.col("headers"))).otherwise(F.col("headers"))
-    )
-    bodies = records.where(F.col("kind") == "response").select(F.col("record_id").alias("_bid"), "body").dropDuplicates(["_bid"])
-    usable = F.when(F.col("outcome") == "resolved", F.col("source_id"))
-    return judged.withColumn("_use", usable).join(bodies, F.col("_use") == F.col("_bid"), "left").select(
-        "record_id", "url_key", "source_id", "outcome", "headers", "body"
+    found = found.unionByName(astray.select("record_id", "url_key", "headers", F.lit(None).cast(found.schema["_source"].dataType).alias("_source")))
+
+    stored = keyed.where((F.col("kind") == "response") & F.col("url_key").isNotNull() & F.col("ts").isNotNull())
+    stored = stored.groupBy(F.struct("ts", "record_id").alias("_of"), F.col("url_key").alias("_url")).agg(F.max(F.struct("headers", "body")).alias("_stored"))
+    joined = found.join(stored, (F.col("_source") == F.col("_of")) & (F.col("url_key") == F.col("_url")), "left")
+    own, was = F.map_from_entries("headers"), F.map_from_entries(F.col("_stored.headers"))
+    outcome = F.when(F.col("_source").isNull(), "no_prior").otherwise(validator_outcome(was, own))
+    judged = joined.withColumn("outcome", outcome)
+    resolved = F.col("outcome") == "resolved"
+    return judged.select(
+        "record_id",
+        "url_key",
+        F.col("_source.record_id").alias("source_id"),
+        "outcome",
+        F.when(resolved, merge_headers(was, own)).otherwise(own).alias("headers"),
+        F.when(resolved, F.col("_stored.body")).alias("body"),
     )
 
 
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Archive records from ``pages``: each page is a full response, followed later by a revisit of its URL.
-
-    Page p is fetched at 10 p and asked again at 10 p + 5. The revisit's tag is the page's own,
-    except for every seventh page, whose tag has changed; every fifth sends no tag but a date.
+    """Archive records from ``pages``: each page is a full response, and its URL is asked again at another time.
+
+    The pages of a host are captures of two items, under several spellings of the URL, so a common
+    host has URLs of many captures. Page p is fetched at 10 (37 p mod 1009), so that captures tie,
+    and revisited at 10 (101 p mod 1009), or 5 later if p is odd; every thirteenth revisit comes
+    before all captures. A URL's version changes every 3000; it is the tag and the date of the
+    response (every eleventh sends no tag). The revisit sends the version of its own time as a weak
+    tag; every seventh a changed tag, every fifth a date alone.
     """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    tag = F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"'))
-    day = F.concat(F.lit("day "), (F.col("page_id") % 28).cast("string"))
-    length = F.octet_length(F.coalesce("html", F.lit(""))).cast("string")
+    page = F.col("page_id")
+    site, query = F.regexp_extract("url", r"^([A-Za-z]+://[^/?#]+)", 1), F.regexp_extract("url", r"(\?[^#]*)", 1)
+    slash = F.when((page % 3 == 0) & (query == ""), "/").otherwise("")
+    url = F.when(site == "", F.col("url")).otherwise(F.concat(site, F.lit("/item/"), (page % 2).cast("string"), slash, query))
+    tag = lambda ts: F.concat(F.lit('"v'), F.floor(ts / 3000).cast("string"), F.lit('"'))
+    day = lambda ts: F.concat(F.lit("day "), F.floor(ts / 3000).cast("string"))
+    sent = lambda **fields: F.map_filter(
+        F.create_map(*[x for k, v in fields.items() for x in (F.lit(k.replace("_", "-")), v)]), lambda _, v: v.isNotNull()
+    )
+    fetched = (page * 37) % 1009 * 10
     response = pages.select(
-        (F.col("page_id") * 2).alias("record_id"),
-        "url",
-        (F.col("page_id") * 10).alias("ts"),
+        (page * 2).alias("record_id"),
+        url.alias("url"),
+        fetched.alias("ts"),
         F.lit("response").alias("kind"),
-        F.create_map(
-            F.lit("ETag"), tag, F.lit("Last-Modified"), day, F.lit("Content-Length"), length, F.lit("Cache-Control"), F.lit("max-age=60")
+        sent(
+            ETag=F.when(page % 11 != 0, tag(fetched)),
+            Last_Modified=day(fetched),
+            Content_Length=F.octet_length(F.coalesce("html", F.lit(""))).cast("string"),
+            Cache_Control=F.lit("max-age=60"),
         ).alias("headers"),
         F.col("html").alias("body"),
     )
-    changed = F.when(F.col("page_id") % 7 == 0, F.lit('"changed"')).when(F.col("page_id") % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("W/"), tag))
+    asked = F.when(page % 13 == 0, F.lit(-5).cast("long")).otherwise((page * 101) % 1009 * 10 + page % 2 * 5)
+    own_tag = F.when(page % 7 == 0, F.lit('"changed"')).when(page % 5 != 0, F.concat(F.lit("W/"), tag(asked)))
     revisit = pages.select(
-        (F.col("page_id") * 2 + 1).alias("record_id"),
-        F.concat(F.col("url"), F.lit("#again")).alias("url"),
-        (F.col("page_id") * 10 + 5).alias("ts"),
+        (page * 2 + 1).alias("record_id"),
+        F.concat(url, F.lit("#again")).alias("url"),
+        asked.alias("ts"),
         F.lit("revisit").alias("kind"),
-        F.map_filter(
-            F.create_map(
-                F.lit("etag"), changed, F.lit("last-modified"), day, F.lit("content-length"), F.lit("0"), F.lit("cache-control"),
-                F.concat(F.lit("max-age="), F.col("page_id").cast("string")),
-            ),
-            lambda _, v: v.isNotNull(),
+        sent(
+            etag=own_tag, last_modified=day(asked), content_length=F.lit("0"), cache_control=F.concat(F.lit("max-age="), page.cast("string"))
         ).alias("headers"),
         F.lit(None).cast("string").alias("body"),
     )
@@ -188,31 +202,37 @@ def revisit_digest(resolved: DataFrame) -> DataFrame:
 #: DuckDB SQL for the rows of the query on ``pages``.
 REVISIT_SQL = r"""
 WITH p AS (
-  SELECT page_id, html, '"' || md5(coalesce(html, '')) || '"' AS tag, 'day ' || (page_id % 28) AS lastmod,
-         strlen(coalesce(html, ''))::VARCHAR AS len, regexp_replace(trim(url), '#.*$', '') AS u
+  SELECT page_id, html, strlen(coalesce(html, ''))::VARCHAR AS len,
+         regexp_extract(url, '^([A-Za-z]+://[^/?#]+)', 1) AS site, regexp_extract(url, '(\?[^#]*)', 1) AS query, url,
+         (page_id * 37) % 1009 * 10 AS sts,
+         CASE WHEN page_id % 13 = 0 THEN -5 ELSE (page_id * 101) % 1009 * 10 + page_id % 2 * 5 END AS vts
   FROM pages
+), a AS (
+  SELECT *, regexp_replace(trim(CASE WHEN site = '' THEN url
+                           ELSE site || '/item/' || (page_id % 2) || CASE WHEN page_id % 3 = 0 AND query = '' THEN '/' ELSE '' END || query END), '#.*$', '') AS u
+  FROM p
 ), k AS (
   SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*)([^?]*)(\??.*)$', 2)), '(:80|:443)?$', ''), '^www\.', '') AS host,
          regexp_replace(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*)([^?]*)(\??.*)$', 3), '/+$', '') AS path,
          array_to_string(list_sort(string_split(regexp_replace(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?]*)([^?]*)(\??.*)$', 4), '^\?', ''), '&')), '&') AS q
-  FROM p
+  FROM a
 ), r AS (
-  SELECT *, host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END AS url_key FROM k
-), v AS (
-  SELECT page_id, url_key, page_id * 10 + 5 AS ts, 'max-age=' || page_id AS cc, lastmod,
-         CASE WHEN page_id % 7 = 0 THEN '"changed"' WHEN page_id % 5 = 0 THEN NULL ELSE 'W/' || tag END AS vtag
-  FROM r
+  SELECT page_id, html, len, sts, vts, CASE WHEN host = '' THEN u ELSE host || path || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS url_key,
+         CASE WHEN page_id % 11 <> 0 THEN '"v' || floor(sts / 3000)::BIGINT || '"' END AS stag, 'day ' || floor(sts / 3000)::BIGINT AS sday,
+         CASE WHEN page_id % 7 = 0 THEN '"changed"' WHEN page_id % 5 <> 0 THEN 'W/"v' || floor(vts / 3000)::BIGINT || '"' END AS vtag,
+         'day ' || floor(vts / 3000)::BIGINT AS vday
+  FROM k
 ), j AS (
-  SELECT v.*, s.page_id AS sid, s.tag, s.lastmod AS smod, s.len, s.html
-  FROM v ASOF LEFT JOIN (SELECT *, page_id * 10 AS sts FROM r) s ON v.url_key = s.url_key AND v.ts > s.sts
+  SELECT v.page_id, v.url_key, v.vtag, v.vday, s.page_id AS sid, s.stag, s.sday, s.len, s.html
+  FROM r v ASOF LEFT JOIN (SELECT *, sts * 1000000000 + page_id AS place FROM r) s ON v.url_key = s.url_key AND v.vts * 1000000000 > s.place
 ), o AS (
   SELECT *, CASE WHEN sid IS NULL THEN 'no_prior'
-                 WHEN vtag IS NOT NULL THEN CASE WHEN regexp_replace(vtag, '^[Ww]/', '') = tag THEN 'resolved' ELSE 'validator_mismatch' END
-                 WHEN lastmod = smod THEN 'resolved' ELSE 'validator_mismatch' END AS outcome
+                 WHEN vtag IS NOT NULL AND stag IS NOT NULL THEN CASE WHEN regexp_replace(vtag, '^[Ww]/', '') = stag THEN 'resolved' ELSE 'validator_mismatch' END
+                 WHEN vday = sday THEN 'resolved' ELSE 'validator_mismatch' END AS outcome
   FROM j
 )
-SELECT page_id * 2 + 1 AS revisit_id, url_key, sid * 2 AS source_id, outcome, coalesce(vtag, CASE WHEN outcome = 'resolved' THEN tag END) AS etag,
-       cc AS cache_control, CASE WHEN outcome = 'resolved' THEN len ELSE '0' END AS content_length,
+SELECT page_id * 2 + 1 AS revisit_id, url_key, sid * 2 AS source_id, outcome, coalesce(vtag, CASE WHEN outcome = 'resolved' THEN stag END) AS etag,
+       'max-age=' || page_id AS cache_control, CASE WHEN outcome = 'resolved' THEN len ELSE '0' END AS content_length,
        CASE WHEN outcome = 'resolved' THEN md5(html) END AS body_md5
 FROM o
 """
