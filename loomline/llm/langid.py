@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import fold, prepare, unit_hash
 
@@ -130,21 +131,29 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: list[str], *, epoc
 
 
 def sample(labelled: DataFrame, text: str, lang: str, per_language: int, seed: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows, labels and names from about ``per_language`` rows of each language, chosen by a hash of the text."""
-    counts = {r[lang]: r["count"] for r in labelled.groupBy(lang).count().collect()}
+    """Windows, labels and names from ``per_language`` distinct texts of each language, those of least hash; all if fewer.
+
+    Texts of a hash well below what that many need are cut into windows in the scan, copies of one
+    text are dropped before the shuffle, and their rank by hash bounds what reaches the driver.
+    """
+    keyed = labelled.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    keyed = keyed.withColumn("u", unit_hash(F.lit(seed), F.col("h")))
+    counts = {r["lang"]: r["count"] for r in keyed.select("lang", "h").distinct().groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
-    rate = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(per_language / counts[k]))])[F.col(lang)]
-    drawn = labelled.where(unit_hash(F.lit(seed), F.col(text)) < rate)
+    room = per_language + 6 * per_language**0.5 + 20  # that many are as good as sure to hold the least ones
+    rate = F.create_map(*[x for k in languages for x in (F.lit(k), F.lit(room / counts[k]))])[F.col("lang")]
     step = WINDOW - OVERLAP
-    count = F.greatest(F.lit(1), F.ceil((F.octet_length(text) - OVERLAP) / step))
+    count = F.greatest(F.lit(1), F.ceil((F.octet_length("text") - OVERLAP) / step))
     # Windows are drawn spread over the whole text; each is cut in the scan, so that long texts stay there.
     places = F.transform(
         F.sequence(F.lit(0), F.least(count, F.lit(WINDOWS_PER_SAMPLE)) - 1),
-        lambda i: F.substring(F.col(text).cast("binary"), (F.floor(i * count / F.least(count, F.lit(WINDOWS_PER_SAMPLE))) * step + 1).cast("int"), F.lit(WINDOW)),
+        lambda i: F.substring(F.col("text").cast("binary"), (F.floor(i * count / F.least(count, F.lit(WINDOWS_PER_SAMPLE))) * step + 1).cast("int"), F.lit(WINDOW)),
     )
-    rows = drawn.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), places.alias("w")).collect()
+    drawn = keyed.where(F.col("u") < rate).select("lang", "u", "h", places.alias("w")).dropDuplicates(["lang", "h"])
+    ranked = drawn.withColumn("_rank", F.row_number().over(Window.partitionBy("lang").orderBy("u", "h")))
+    rows = ranked.where(F.col("_rank") <= per_language).select("lang", "h", "w").collect()
     rows = sorted(((r["lang"], r["h"], [bytes(w) for w in r["w"]]) for r in rows), key=lambda r: r[:2])
     windows = np.frombuffer(b"".join(w[:WINDOW].ljust(WINDOW) for _, _, ws in rows for w in ws), np.uint8).reshape(-1, WINDOW)
     labels = np.array([languages.index(k) for k, _, ws in rows for _ in ws], np.int64)
@@ -154,7 +163,7 @@ def sample(labelled: DataFrame, text: str, lang: str, per_language: int, seed: i
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, seed: int = 1) -> Network | None:
     """A network learned from rows of non-null text and language; None if there are none.
 
-    The driver gets about ``per_language * WINDOWS_PER_SAMPLE`` windows of 256 bytes a language.
+    The driver gets at most ``per_language * WINDOWS_PER_SAMPLE`` windows of 256 bytes a language.
     """
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(text, lang)
     windows, labels, languages = sample(labelled, text, lang, per_language, seed)
