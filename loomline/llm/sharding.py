@@ -18,25 +18,28 @@ from pyspark.sql.window import Window
 from .common import LONG_MIN, checkpoint, literal_array, unit_hash
 
 MAX_SPLIT_ROUNDS = 4
+#: Ranges beyond the least number are added for so many rows each, up to the most the driver plans.
+ROWS_PER_RANGE = 250_000
+MAX_RANGES = 4096
+#: Splitters that are compared at a time.
+CHUNK = 64
 
 
-def _below(split: tuple[int, int]) -> Column:
-    """Whether a row's (key, id) lies before a splitter."""
-    key, ident = split
-    if ident == LONG_MIN:
-        return F.col("_key") < F.lit(key).cast("long")
-    same = (F.col("_key") == F.lit(key).cast("long")) & (F.col("_id") < F.lit(ident).cast("long"))
-    return (F.col("_key") < F.lit(key).cast("long")) | same
+def _count_below(keys: Column, ids: Column, shift: Column) -> Column:
+    """How many of the splitters (key, id), of which ``keys`` has some and ``ids`` has all from ``shift`` on, are at or before a row."""
+    key, ident = F.col("_key"), F.col("_id")
+    return F.size(F.filter(keys, lambda k, j: (k < key) | ((k == key) & (F.get(ids, j + shift) <= ident))))
 
 
-def range_of(splits: list[tuple[int, int]], low: int = 0) -> Column:
-    """The number of splitters at or before a row's key, as a balanced decision tree."""
+def range_of(splits: list[tuple[int, int]]) -> Column:
+    """The number of ascending splitters at or before a row's (key, id): over chunks of them, then in one chunk."""
     if not splits:
-        return F.lit(low)
-    middle = len(splits) // 2
-    return F.when(_below(splits[middle]), range_of(splits[:middle], low)).otherwise(
-        range_of(splits[middle + 1 :], low + middle + 1)
-    )
+        return F.lit(0)
+    keys, ids = (literal_array([s[n] for s in splits], "long") for n in (0, 1))
+    heads = splits[::CHUNK]
+    chunk = _count_below(literal_array([k for k, _ in heads], "long"), literal_array([i for _, i in heads], "long"), F.lit(0)) - 1
+    inside = _count_below(F.slice(keys, chunk * CHUNK + 1, F.lit(CHUNK)), ids, chunk * CHUNK)
+    return F.when(chunk < 0, F.lit(0)).otherwise(chunk * CHUNK + inside)
 
 
 def quantile_splits(sample: list[tuple[int, int, float]], parts: int) -> list[tuple[int, int]]:
@@ -73,6 +76,7 @@ def shard(
     shards: int = 8,
     ranges_per_shard: int = 16,
     samples_per_range: int = 32,
+    rows_per_range: int = ROWS_PER_RANGE,
     tolerance: float = 0.05,
     seed: int = 3,
 ) -> DataFrame:
@@ -81,8 +85,9 @@ def shard(
     Returns ``ident``, ``size``, the ``carry`` columns, ``shard`` and ``slot`` (gapless from 0 in
     each shard). Rows of one key share a shard unless their sizes together exceed ``tolerance`` of
     a shard; such groups are divided by id. So no shard differs from the mean by more than
-    ``tolerance`` of it, or by the largest single row if that is more. The driver holds at most
-    about ``2 * shards * ranges_per_shard * samples_per_range`` sampled keys.
+    ``tolerance`` of it, or by the largest single row if that is more. There are
+    ``shards * ranges_per_shard`` ranges, or for a large table one for ``rows_per_range`` rows up
+    to ``MAX_RANGES``; the driver holds at most about ``2 * samples_per_range`` sampled keys a range.
 
     A null id counts as the least; repeated rows each take a slot; an empty table gives no rows;
     further columns of the input, whatever their names, are not read.
@@ -102,7 +107,7 @@ def shard(
     weight = (F.col("_size") / F.lit(float(max(total, 1))) + F.lit(1.0 / max(count, 1))) / 2
     rows = rows.withColumn("_weight", weight)
 
-    parts = shards * ranges_per_shard
+    parts = max(shards * ranges_per_shard, min(MAX_RANGES, count // rows_per_range))
     splits = quantile_splits(_sample(rows, parts * samples_per_range, seed), parts)
     for again in range(MAX_SPLIT_ROUNDS + 1):
         ranged = rows.withColumn("_range", range_of(splits))

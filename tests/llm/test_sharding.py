@@ -1,10 +1,11 @@
 from collections import defaultdict
 
+import numpy as np
 from helpers import awkward
 from pyspark.sql import functions as F
 
 from loomline.llm.queries import op3_sampled_splitters
-from loomline.llm.sharding import quantile_splits, shard
+from loomline.llm.sharding import quantile_splits, range_of, shard
 
 
 def place(docs, **more):
@@ -58,3 +59,23 @@ def test_quantile_splits_keep_keys_whole_unless_hot():
     hot = [(5, i, 1.0) for i in range(100)]
     assert quantile_splits(hot, 4) == [(5, -(1 << 63)), (5, 50), (5, 75)]
     assert quantile_splits([], 4) == []
+
+
+def test_range_of_counts_splitters(spark):
+    rng = np.random.default_rng(2)
+    splits = sorted({(int(k), int(i)) for k, i in zip(rng.integers(-50, 50, 300), rng.integers(-9, 9, 300))})
+    rows = [(int(k), int(i)) for k, i in zip(rng.integers(-60, 60, 1000), rng.integers(-10, 10, 1000))]
+    for some in (splits, splits[:64], splits[:65], splits[:1], []):
+        got = spark.createDataFrame(rows, "_key long, _id long").withColumn("r", range_of(some)).collect()
+        assert all(r["r"] == sum(s <= (r["_key"], r["_id"]) for s in some) for r in got)
+
+
+def test_many_ranges(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 3000).alias("text"))
+    rows = place(docs, rows_per_range=10)
+    assert len(rows) == 5000 and gapless(rows)
+    sizes, groups = defaultdict(int), defaultdict(set)
+    for r in rows:
+        sizes[r["shard"]] += r["size"]
+        groups[(r["doc_id"] % 3000)].add(r["shard"])
+    assert max(sizes.values()) - min(sizes.values()) < 100 and all(len(g) == 1 for g in groups.values())
