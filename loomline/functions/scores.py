@@ -60,6 +60,39 @@ def valid(scores: Column, acts: list[str] = ACTS) -> Column:
     return keys & F.forall(F.map_values(scores), lambda v: v.isNotNull() & ~F.isnan(v) & (v >= 0) & (v <= 1))
 
 
+def forced_choice(scores: Column, acts: list[str] = ACTS, within: float = 0.001) -> Column:
+    """Valid scores of one choice: they sum to one."""
+    total = F.aggregate(F.map_values(scores), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    return valid(scores, acts) & (F.abs(total - 1) <= within)
+
+
+def truncation(raw: Column) -> Column:
+    """Either writing of a truncation report (JSON text) in one form: message, tokens dropped at most, and by hypothesis.
+
+    The details stand under ``perHypothesis`` or ``per_hypothesis``, the flag under ``truncated`` or
+    ``message``. Missing flags are false, missing counts 0, a missing maximum is that of the details.
+    Text that is no object gives null.
+    """
+    detail = "struct<message:boolean,hypothesis:boolean,message_tokens_dropped:int,hypothesis_tokens_dropped:int>"
+    form = f"perHypothesis map<string,{detail}>, per_hypothesis map<string,{detail}>, truncated boolean, message boolean, message_tokens_dropped_max int"
+    whole = F.from_json(raw, form)
+    per = F.coalesce(whole["perHypothesis"], whole["per_hypothesis"], F.from_json(F.lit("{}"), f"map<string,{detail}>"))
+    flag = lambda x: F.coalesce(x, F.lit(False))
+    many = lambda x: F.coalesce(x, F.lit(0))
+    per = F.transform_values(
+        per,
+        lambda _, d: F.struct(
+            flag(d["message"]).alias("message"), flag(d["hypothesis"]).alias("hypothesis"),
+            many(d["message_tokens_dropped"]).alias("message_tokens_dropped"), many(d["hypothesis_tokens_dropped"]).alias("hypothesis_tokens_dropped"),
+        ),
+    )
+    most = F.coalesce(whole["message_tokens_dropped_max"], F.array_max(F.transform(F.map_values(per), lambda d: d["message_tokens_dropped"])), F.lit(0))
+    found = F.struct(
+        flag(F.coalesce(whole["truncated"], whole["message"])).alias("message"), most.alias("message_tokens_dropped_max"), per.alias("per_hypothesis")
+    )
+    return F.when(raw.rlike(r"^\s*\{") & F.try_parse_json(raw).isNotNull(), found)
+
+
 def softmax(logits: Column) -> Column:
     """Shares of an array of logits."""
     top = F.array_max(logits)

@@ -27,13 +27,14 @@ STOPWORDS = (
     "each any do does did me us he she his her there here these those some only still today update thanks thank please day next "
     "ready goal session agent village http https com org www"
 ).split()
-# The two URL patterns, the path pattern and the trailing marks that are cut.
+# The two URL patterns, the path pattern, and the marks that are cut off the ends of URLs of either.
 URL = r"https?://[^\s<>\[\]\"`]+"
 AUDIT_URL = r"(?i)https?://[^\s\]\[()<>\"']+"
 AUDIT_PATH = (
     r"(?iu)(?<![\w])(?:/[^\s,;()<>\"']{2,}|[\w.-]+\.(?:py|js|ts|json|csv|md|txt|pdf|html|ipynb|xlsx|docx))(?![\w])"
 )
-TRAILING = ".,;:!?)'\"*"
+TRAILING = ".,;:!?)]}’'"
+AUDIT_TRAILING = ".,!?;:"
 DURATION = r"(?i)\b\d+(?:\.\d+)?\s*(?:ms|milliseconds?|seconds?|secs?|minutes?|mins?|hours?|hrs?|days?)\b"
 READ_CLAIM = r"(?i)\b(?:verified[- ]read|observed[- ]read|consumed|consumption|read[- ]verified)\b"
 
@@ -49,17 +50,25 @@ def tags(text: Column, rules: dict[str, str] | None = None) -> Column:
     return F.array_compact(F.array(*[F.when(text.rlike("(?iu)" + r), F.lit(k)) for k, r in rules.items()]))
 
 
+def tokens(text: Column) -> Column:
+    """Words of three letters a-z and more, repeats kept, URLs left out."""
+    return F.regexp_extract_all(F.lower(F.regexp_replace(text, URL, " ")), F.lit("([a-z]{3,})"), 1)
+
+
 def words(text: Column, stopwords: list[str] | None = None) -> Column:
-    """Words of three letters a-z and more, repeats kept, URLs and stopwords left out."""
-    stop = F.array(*[F.lit(w) for w in (STOPWORDS if stopwords is None else stopwords)]).cast("array<string>")
-    found = F.regexp_extract_all(F.lower(F.regexp_replace(text, URL, " ")), F.lit("([a-z]{3,})"), 1)
-    return F.filter(found, lambda w: ~F.array_contains(stop, w))
+    """Tokens without the stopwords, which are looked up in a hashed set."""
+    stop = STOPWORDS if stopwords is None else stopwords
+    return F.filter(tokens(text), lambda w: ~w.isin(stop)) if stop else tokens(text)
+
 
+def without_trailing(url: Column, marks: str = TRAILING) -> Column:
+    return F.regexp_replace(url, "[" + re.escape(marks) + "]+$", "")
 
-def urls(text: Column, pattern: str = URL) -> Column:
-    """Distinct URLs of a text, trailing marks cut off."""
-    found = F.regexp_extract_all(text, F.lit(f"({pattern})"), 1)
-    return F.array_distinct(F.transform(found, lambda u: F.regexp_replace(u, "[" + re.escape(TRAILING) + "]+$", "")))
+
+def urls(text: Column, pattern: str = URL, marks: str = TRAILING) -> Column:
+    """Distinct URLs of a text as they stand, then with trailing marks cut off: two that differ in these stay two."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1))
+    return F.transform(found, lambda u: without_trailing(u, marks))
 
 
 def normal_url(url: Column, least_path: int = 0) -> Column:
@@ -101,6 +110,29 @@ def locator(source: Column, day: Column, index: Column) -> Column:
     return F.concat(F.lit("ev-"), F.left(source, F.lit(12)), F.lit("-d"), day.cast("string"), F.lit("-e"), index.cast("string"))
 
 
+def label_key(label: Column) -> Column:
+    """A label in lower case, hyphens and runs of white space as one underscore."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(label), r"(?U)[-\s]+", " ")), " ", "_")
+
+
+def form_encoded(value: Column) -> Column:
+    """A value as in a query string: space as plus, all but letters, digits and ``-_.~`` escaped."""
+    return F.replace(F.replace(F.url_encode(value), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
+def link(base: str, **fields: Column) -> Column:
+    """``base`` and a query string of the fields in their order."""
+    parts = [F.concat(F.lit(f"{k}="), form_encoded(F.coalesce(v.cast("string"), F.lit("")))) for k, v in fields.items()]
+    return F.concat(F.lit(base + "?"), F.concat_ws("&", *parts))
+
+
+def safe_name(name: str) -> str:
+    """A plain file name as it is; raises on a path, on nothing, and on dots alone."""
+    if not name or name in (".", "..") or "/" in name or "\\" in name or "\0" in name:
+        raise ValueError(f"not a plain file name: {name!r}")
+    return name
+
+
 def first_filled(*columns: Column, default: str | None = None) -> Column:
     """The first value that is neither null nor empty."""
     found = F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])

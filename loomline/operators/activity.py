@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.text import normal_url, urls
+from ..functions.times import minutes_between
+
 
 def daily_activity(rows: DataFrame, day: str = "date") -> DataFrame:
     """(day, events, active, effective_actors): counts by day and the inverse sum of squared shares."""
@@ -17,6 +20,18 @@ def daily_activity(rows: DataFrame, day: str = "date") -> DataFrame:
     )
 
 
+def talk_concentration(rows: DataFrame, talk: Column, day: str = "date", digits: int = 2) -> DataFrame:
+    """(day, events, messages, active, effective_speakers): the inverse sum of squared shares of the talks, null on a day without."""
+    per = rows.groupBy(day, "actor").agg(F.count(F.lit(1)).alias("n"), F.count_if(talk).alias("k"))
+    squares = F.sum(F.pow("k", F.lit(2.0)))
+    return per.groupBy(day).agg(
+        F.sum("n").alias("events"),
+        F.sum("k").alias("messages"),
+        F.count_if(F.col("k") > 0).alias("active"),
+        F.round(F.when(F.sum("k") > 0, F.pow(F.sum("k"), F.lit(2.0)) / squares), digits).alias("effective_speakers"),
+    )
+
+
 def type_counts(rows: DataFrame, day: str = "date") -> DataFrame:
     return rows.groupBy(day, "type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -107,20 +122,35 @@ def hourly(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("actor").alias("actors"))
 
 
+def url_mentions(rows: DataFrame, least_path: int = 6) -> DataFrame:
+    """(date, key, actor, ts): the URLs of texts in normal form, of a path of ``least_path`` characters and more.
+
+    A text's URLs are told apart as they stand there, so two that become equal are two mentions.
+    """
+    found = rows.where(F.col("ts").isNotNull()).select("date", "actor", "ts", F.explode(urls(F.col("text"))).alias("url"))
+    return found.select("date", normal_url(F.col("url"), least_path).alias("key"), "actor", "ts").where(F.col("key").isNotNull())
+
+
 def cascades(rows: DataFrame, *, least_actors: int = 3, most_minutes: float = 60.0) -> DataFrame:
-    """First mentions of a key by several actors within a day: (date, key, agents, span_minutes, mentions).
+    """First mentions of a key by several actors within a day: (date, key, agents, span_minutes, mentions, sequence).
 
-    ``rows`` has date, key, actor, ts. A mention without a time is passed over.
+    ``rows`` has date, key, actor, ts. A mention without a time is passed over. The sequence has
+    each actor and the minutes from the first mention to theirs; it is as long as the day has actors.
     """
     timed = rows.where(F.col("ts").isNotNull())
     first = timed.groupBy("date", "key", "actor").agg(F.min("ts").alias("first"), F.count(F.lit(1)).alias("n"))
     found = first.groupBy("date", "key").agg(
         F.count(F.lit(1)).alias("agents"),
-        ((F.unix_micros(F.max("first")) - F.unix_micros(F.min("first"))) / F.lit(6e7)).alias("span"),
+        F.min("first").alias("begin"),
+        F.max("first").alias("end"),
         F.sum("n").alias("mentions"),
     )
-    kept = found.where((F.col("agents") >= least_actors) & (F.col("span") <= most_minutes))
-    return kept.select("date", "key", "agents", F.round("span", 2).alias("span_minutes"), "mentions")
+    span = minutes_between(F.col("end"), F.col("begin"))
+    kept = found.withColumn("span", span).where((F.col("agents") >= least_actors) & (F.col("span") <= most_minutes))
+    minutes = F.round(minutes_between(F.col("first"), F.col("begin")), 2)
+    step = F.struct(minutes.alias("minutes"), F.col("actor").cast("string").alias("actor"))
+    turns = first.join(kept.select("date", "key", "begin"), ["date", "key"]).groupBy("date", "key").agg(F.array_sort(F.collect_list(step)).alias("sequence"))
+    return kept.join(turns, ["date", "key"]).select("date", "key", "agents", F.round("span", 2).alias("span_minutes"), "mentions", "sequence")
 
 
 def top_cascades(found: DataFrame, k: int = 24) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import AUDIT_PATH, AUDIT_URL
+from ..functions.text import AUDIT_PATH, AUDIT_TRAILING, AUDIT_URL, without_trailing
+from ..session import checkpointed
 
 # Event types that are known, and the keys that hold identifiers.
 TYPES = [
@@ -65,21 +66,45 @@ def time_quality(rows: DataFrame) -> DataFrame:
     return rows.groupBy("ts_quality").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
-def links(rows: DataFrame, pattern: str) -> DataFrame:
-    """Total and distinct matches of a pattern, trailing marks cut."""
+def links(rows: DataFrame, pattern: str, marks: str | None = None) -> DataFrame:
+    """Total and distinct matches of a pattern, the trailing marks cut if there are any."""
     found = rows.select(F.explode(F.regexp_extract_all("text", F.lit(f"({pattern})"), 1)).alias("link"))
-    cut = found.select(F.regexp_replace("link", r"[.,;:!?)\]}]+$", "").alias("link"))
-    return cut.agg(F.count(F.lit(1)).alias("total"), F.countDistinct("link").alias("distinct"))
+    cut = found if marks is None else found.select(without_trailing(F.col("link"), marks).alias("link"))
+    return cut.groupBy("link").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("distinct")
+    )
 
 
 def url_links(rows: DataFrame) -> DataFrame:
-    return links(rows, AUDIT_URL)
+    return links(rows, AUDIT_URL, AUDIT_TRAILING)
 
 
 def path_links(rows: DataFrame) -> DataFrame:
+    """Paths are counted as they stand."""
     return links(rows, AUDIT_PATH)
 
 
+def objects_with(rows: DataFrame, ident: str, raw: str, keys: list[str]) -> DataFrame:
+    """(ident, value) of the objects at any depth of a variant that have all the keys.
+
+    Each round opens the objects and lists of the last; there are as many as the deepest value has levels.
+    """
+    level = rows.select(ident, F.col(raw).alias("value"))
+    found = None
+    while True:
+        level = checkpointed(level)
+        kind = F.schema_of_variant("value")
+        held = F.map_keys(F.try_variant_get("value", "$", "map<string,variant>"))
+        here = level.where(kind.startswith("OBJECT")).where(F.size(F.array_intersect(held, F.array(*[F.lit(k) for k in keys]))) == len(keys))
+        found = here if found is None else found.unionByName(here)
+        inside = F.when(kind.startswith("OBJECT"), F.map_values(F.try_variant_get("value", "$", "map<string,variant>")))
+        inside = inside.when(kind.startswith("ARRAY"), F.try_variant_get("value", "$", "array<variant>"))
+        level = level.select(ident, F.explode(inside).alias("value"))
+        level = level.where(F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)"))
+        if level.isEmpty():
+            return found
+
+
 def number_stats(rows: DataFrame, group: str, json: str, path: str) -> DataFrame:
     """Count and mean of a number inside a JSON string, by group; text that does not parse is left out."""
     value = F.try_variant_get(F.try_parse_json(json), path, "double")

@@ -13,21 +13,38 @@ LONG_LIST = 40
 DROPPED_KEYS = ("examples", "samples", "raw", "path", "file")
 
 
+def _ranged(rows: DataFrame, first: str, parts: int) -> DataFrame:
+    """``rows`` with ``_range``, by quantiles of a column; nulls come first."""
+    kind = dict(rows.dtypes)[first]
+    cuts = rows.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] or []
+    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast(f"array<{kind}>")
+    return rows.withColumn("_range", F.when(F.col(first).isNull(), F.lit(0)).otherwise(F.size(F.filter(cuts, lambda c: c <= F.col(first)))))
+
+
+def _before(sums: dict[int, int], parts: int) -> Column:
+    """The sum of the ranges before a row's own."""
+    ends = [sum(n for k, n in sums.items() if k < i) for i in range(parts + 1)]
+    return F.get(F.array(*[F.lit(e) for e in ends]).cast("array<long>"), F.col("_range"))
+
+
 def numbered(rows: DataFrame, order: list[str], parts: int = 256) -> DataFrame:
     """``rows`` with ``position``, the zero-based place in a total order, without one task for all.
 
     Rows are ranged by the first key's quantiles, ranked inside, and offset by the counts of the
     ranges before, which are at most ``parts`` numbers.
     """
-    first = order[0]
-    cuts = rows.agg(F.percentile_approx(first, [i / parts for i in range(1, parts)], 10_000).alias("q")).first()["q"] or []
-    cuts = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast(f"array<{dict(rows.dtypes)[first]}>")
-    ranged = rows.withColumn("_range", F.size(F.filter(cuts, lambda c: c <= F.col(first))))
+    ranged = _ranged(rows, order[0], parts)
     counts = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
-    ends = [sum(n for k, n in counts.items() if k < i) for i in range(parts + 1)]
-    offset = F.get(F.array(*[F.lit(e) for e in ends]).cast("array<long>"), F.col("_range"))
     rank = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return ranged.withColumn("position", rank + offset).drop("_range")
+    return ranged.withColumn("position", rank + _before(counts, parts)).drop("_range")
+
+
+def running_before(rows: DataFrame, order: str, value: str, parts: int = 256) -> DataFrame:
+    """``rows``, unique by ``order``, with ``before``: the sum of ``value`` over all rows before, by ranges like ``numbered``."""
+    ranged = _ranged(rows, order, parts)
+    sums = {r["_range"]: r["s"] or 0 for r in ranged.groupBy("_range").agg(F.sum(value).alias("s")).collect()}
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.withColumn("before", F.coalesce(F.sum(value).over(inside), F.lit(0)) + _before(sums, parts)).drop("_range")
 
 
 def sharded(rows: DataFrame, order: list[str], size: int = SHARD_ROWS) -> DataFrame:
@@ -74,8 +91,18 @@ def insert_new(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return new.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Key-value rows with those of ``new`` in place of the old."""
+def upsert(stored: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Key-value rows with those of ``new`` in place of the old; of rows of one key the last by ``order`` stands.
+
+    Without an order the keys of ``new`` must be unique: a repeated one is an error when it runs.
+    """
+    if order is not None:
+        whole = F.struct(*[F.col(c) for c in new.columns])
+        new = new.groupBy(key).agg(F.max_by(whole, order).alias("_row")).select("_row.*")
+    else:
+        once = new.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct("*")).alias("_row"))
+        error = F.raise_error(F.lit("a key is written more than once, and nothing says which is last"))
+        new = once.where(F.when(F.col("_n") > 1, error).otherwise(F.lit(True))).select("_row.*")
     return stored.join(new.select(key), key, "left_anti").unionByName(new)
 
 
@@ -96,16 +123,28 @@ def append_ledger(rows: DataFrame, spark: SparkSession, path: str) -> int:
 
 
 def publish(df: DataFrame, path: str) -> None:
-    """Write beside the target and rename, so that readers see the whole table or none."""
+    """Write beside the target and put it in place by renames: readers see a whole table, old or new.
+
+    An old table is renamed aside first and deleted last; if the new one cannot take its place, the
+    old one is put back.
+    """
     spark = df.sparkSession
-    staging = path.rstrip("/") + ".staging"
-    df.write.mode("overwrite").parquet(staging)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    source, target = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(path)
+    stem = path.rstrip("/")
+    target, staging, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (stem, stem + ".staging", stem + ".old"))
     files = target.getFileSystem(conf)
-    files.delete(target, True)
-    if not files.rename(source, target):
+    if files.exists(aside) and not files.exists(target):  # an earlier publication stopped between its renames
+        files.rename(aside, target)
+    df.write.mode("overwrite").parquet(stem + ".staging")
+    files.delete(aside, True)
+    held = files.exists(target)
+    if held and not files.rename(target, aside):
+        raise OSError(f"could not move the old {path} aside")
+    if not files.rename(staging, target):
+        if held:
+            files.rename(aside, target)
         raise OSError(f"could not publish {path}")
+    files.delete(aside, True)
 
 
 def prune(value: object, key: str = "") -> object:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import all_of
+from .rules import require_snapshot
 
 PAGE = 100
 
@@ -51,17 +52,46 @@ def search(messages: DataFrame, predictions: DataFrame, run_id: str, s: Search)
     return page, found.agg(F.count(F.lit(1)).alias("total"))
 
 
-def event_page(rows: DataFrame, *, kind: str | None = None, actor: object = None, needle: str | None = None, raw: Column | None = None, offset: int = 0) -> DataFrame:
-    """A page of 100 events by date and ordinal; the needle is sought, lower case and trimmed, in the event as JSON."""
+def holds(needle: str, raw: Column) -> Column:
+    """Whether an event's JSON text, or any string value at its top level as it reads, holds the needle in any case of letters."""
+    values = F.map_values(F.try_variant_get(F.try_parse_json(raw), "$", "map<string,variant>"))
+    strings = F.transform(F.filter(values, lambda v: F.schema_of_variant(v) == "STRING"), lambda v: F.try_variant_get(v, "$", "string"))
+    wanted = needle.strip().lower()
+    return F.lower(raw).contains(wanted) | F.coalesce(F.exists(strings, lambda v: F.lower(v).contains(wanted)), F.lit(False))
+
+
+def event_search(
+    rows: DataFrame,
+    *,
+    day: object = None,
+    kind: str | None = None,
+    actor: object = None,
+    event_index: int | None = None,
+    needle: str | None = None,
+    raw: Column | None = None,
+    snapshot: tuple[str, str] | None = None,
+    offset: int = 0,
+) -> tuple[DataFrame, DataFrame]:
+    """A page of 100 events by date and ordinal, and the one-row total of all that match.
+
+    ``raw`` is the event as JSON, by default made of the row. ``snapshot`` has the digest that a link
+    names and the source's own; where they differ the search is refused.
+    """
+    if snapshot is not None:
+        require_snapshot(*snapshot)
     wanted = []
-    if kind:
-        wanted.append(F.col("type") == kind)
-    if actor is not None:
-        wanted.append(F.col("actor") == F.lit(actor))
+    for name, value in (("date", day), ("type", kind or None), ("actor", actor), ("event_index", event_index)):
+        if value is not None:
+            wanted.append(F.col(name) == F.lit(value))
     if needle and needle.strip():
-        body = raw if raw is not None else F.to_json(F.struct("*"))
-        wanted.append(F.lower(body).contains(needle.strip().lower()))
-    return rows.where(all_of(wanted)).orderBy("date", "event_index").offset(max(0, offset)).limit(PAGE)
+        wanted.append(holds(needle, raw if raw is not None else F.to_json(F.struct("*"))))
+    found = rows.where(all_of(wanted))
+    return found.orderBy("date", "event_index").offset(max(0, offset)).limit(PAGE), found.agg(F.count(F.lit(1)).alias("total"))
+
+
+def event_page(rows: DataFrame, **wanted: object) -> DataFrame:
+    """The page alone of ``event_search``."""
+    return event_search(rows, **wanted)[0]
 
 
 def around(rows: DataFrame, targets: DataFrame, reach: int = 2) -> DataFrame:
@@ -77,6 +107,25 @@ def pending(messages: DataFrame, predictions: DataFrame, run_id: str) -> DataFra
     return left.groupBy("text_hash").agg(F.min("day").alias("day"), F.min("event_index").alias("event_index"))
 
 
+def pending_texts(messages: DataFrame, predictions: DataFrame, run_id: str) -> DataFrame:
+    """``pending`` with the text of each hash, for export."""
+    return messages.groupBy("text_hash").agg(F.min("text").alias("text")).join(pending(messages, predictions, run_id), "text_hash")
+
+
+def label_totals(messages: DataFrame, predictions: DataFrame, run_id: str) -> DataFrame:
+    """By label, most first: source records, and how many need review or were truncated."""
+    own = predictions.where(F.col("run_id") == run_id)
+    joined = messages.select("text_hash").join(own, "text_hash")
+    total = lambda c: F.sum(F.col(c).cast("long")).alias(c)
+    return joined.groupBy("label").agg(F.count(F.lit(1)).alias("n"), total("needs_review"), total("truncated")).orderBy(F.desc("n"), "label")
+
+
+def untagged(predictions: DataFrame, run_id: str, result: str = "result") -> DataFrame:
+    """One row: how many predictions of a run do not name the epoch that made them."""
+    own = predictions.where(F.col("run_id") == run_id)
+    return own.agg(F.count_if(~F.col(result).contains('"execution_epoch_id"')).alias("untagged"))
+
+
 def label_counts(messages: DataFrame, predictions: DataFrame, run_id: str) -> DataFrame:
     """By label: source records, unique texts, and records that need review."""
     own = predictions.where(F.col("run_id") == run_id)
@@ -111,6 +160,11 @@ def report_samples(messages: DataFrame, predictions: DataFrame, run_id: str, *,
     return rows.orderBy("label", "rank").limit(most).select("label", F.col("rank").cast("long").alias("rank"), "at.day", "at.event_index", "text_hash")
 
 
+def remaining_seconds(done_now: Column, rate: Column, total: Column, done: Column, least: int = 32) -> Column:
+    """Seconds that a run still needs at its rate; null before ``least`` texts of this session, and without a rate."""
+    return F.when((done_now >= least) & (rate > 0), F.round(F.greatest(F.lit(0), total - done) / rate).cast("long"))
+
+
 def run_state(recorded: Column, remaining: Column, alive: Column, same_run: Column) -> Column:
     """State of a run: replaced by another, incomplete or interrupted where the record is out of date."""
     return (

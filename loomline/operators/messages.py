@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import normal, tags, words
+from ..functions.text import CUES, STOPWORDS, normal, tags, tokens
 from ..session import checkpointed
+from .export import numbered, running_before
 
 
 def cue_counts(rows: DataFrame, by: str, rules: dict[str, str] | None = None) -> DataFrame:
@@ -24,20 +25,67 @@ def cue_pairs(rows: DataFrame, rules: dict[str, str] | None = None) -> DataFrame
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
 
 
+def cue_totals(rows: DataFrame, rules: dict[str, str] | None = None) -> DataFrame:
+    """(day, tag, n) of matching rules, tag COVERED for rows that match any, and totals of each tag under a null day."""
+    found = cue_counts(rows, "day", rules)
+    return found.unionByName(found.groupBy("tag").agg(F.sum("n").alias("n")).select(F.lit(None).cast(found.schema["day"].dataType).alias("day"), "tag", "n"))
+
+
+def cue_examples(rows: DataFrame, rules: dict[str, str] | None = None, *, per_day: int = 2, per_tag: int = 4) -> DataFrame:
+    """(tag, day, event_index, day_rank, tag_rank): the first ``per_day`` rows of each day and tag; tag_rank is null beyond the first ``per_tag`` of a tag.
+
+    The first rows of a tag are among the first of its days, so only these are ranked again.
+    """
+    found = rows.select("day", "event_index", F.explode(tags(F.col("text"), rules)).alias("tag"))
+    most = max(per_day, per_tag)
+    in_day = F.row_number().over(Window.partitionBy("tag", "day").orderBy("event_index"))
+    kept = found.withColumn("day_rank", in_day).where(F.col("day_rank") <= most)
+    in_tag = F.row_number().over(Window.partitionBy("tag").orderBy("day", "event_index"))
+    kept = kept.withColumn("tag_rank", in_tag).where((F.col("day_rank") <= per_day) | (F.col("tag_rank") <= per_tag))
+    return kept.select("tag", "day", "event_index", "day_rank", F.when(F.col("tag_rank") <= per_tag, F.col("tag_rank")).alias("tag_rank"))
+
+
+def audit_sample(rows: DataFrame, ident: str, rules: dict[str, str] | None = None, *, per_tag: int = 12, no_cue: int = 24, seed: str = "732") -> DataFrame:
+    """(tag, ident): of each rule ``per_tag`` of the rows that it matches, and ``no_cue`` of those that none does, under NO_CUE."""
+    rules = CUES if rules is None else rules
+    found = tags(F.col("text"), rules)
+    strata = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("NO_CUE")))
+    return stratified_sample(rows, strata, ident, {**dict.fromkeys(rules, per_tag), "NO_CUE": no_cue}, seed)
+
+
+def word_usage(rows: DataFrame, word: str, family: str) -> DataFrame:
+    """(month, own, other, ratio): texts that hold the word, by month, of speakers whose name holds ``family`` and of others.
+
+    The row of null month has the totals; ratio is null where no other uses the word.
+    """
+    used = rows.where(F.lower("text").contains(word.lower()))
+    own = F.lower("speaker").contains(family.lower())
+    marked = used.select(F.date_format("date", "yyyy-MM").alias("month"), F.coalesce(own, F.lit(False)).alias("own"))
+    sums = marked.rollup("month").agg(F.count_if("own").alias("own"), F.count_if(~F.col("own")).alias("other"))
+    return sums.withColumn("ratio", F.round(F.try_divide("own", "other"), 6))
+
+
+def prehistory(rows: DataFrame, needle: str, day: int, event_index: int) -> DataFrame:
+    """(day, event_index, speaker) of all rows before a place that hold the needle, in any case of letters."""
+    before = (F.col("day") < day) | ((F.col("day") == day) & (F.col("event_index") < event_index))
+    return rows.where(before & F.lower("text").contains(needle.lower())).select("day", "event_index", "speaker")
+
+
 def duplicates(rows: DataFrame, *, least: int = 80, examples: int = 6) -> DataFrame:
     """Groups of one normal text in a day: (day, norm, n, agents, examples).
 
-    The text is hashed before the shuffle; one copy of it comes with the group.
+    Texts are put in normal form once, for their hashes; of a group only its first row's text is read again.
     """
     keyed = rows.select("day", "event_index", "speaker", normal(F.col("text")).alias("norm")).where(F.length("norm") >= least)
-    keyed = keyed.withColumn("key", F.sha2("norm", 256))
-    rank = F.row_number().over(Window.partitionBy("day", "key").orderBy("event_index"))
+    keyed = checkpointed(keyed.select("day", "event_index", "speaker", F.sha2("norm", 256).alias("key")))
     groups = keyed.groupBy("day", "key").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("speaker").alias("agents"), F.first("norm").alias("norm")
+        F.count(F.lit(1)).alias("n"), F.countDistinct("speaker").alias("agents"), F.min("event_index").alias("event_index")
     ).where("n > 1")
-    firsts = keyed.select("day", "key", "event_index", rank.alias("rank")).where(F.col("rank") <= examples)
+    rank = F.row_number().over(Window.partitionBy("day", "key").orderBy("event_index"))
+    firsts = keyed.withColumn("rank", rank).where(F.col("rank") <= examples)
     firsts = firsts.groupBy("day", "key").agg(F.array_sort(F.collect_list("event_index")).alias("examples"))
-    return groups.join(firsts, ["day", "key"]).drop("key")
+    found = groups.join(firsts, ["day", "key"]).join(rows.select("day", "event_index", "text"), ["day", "event_index"])
+    return found.select("day", normal(F.col("text")).alias("norm"), "n", "agents", "examples")
 
 
 def fingerprint(kind: Column, speaker: Column, content: Column) -> Column:
@@ -61,8 +109,9 @@ def profiles(rows: DataFrame, *, least: int = 20, top: int = 120, stopwords: lis
 
     Counts are of at most one row a distinct token of a day and speaker when the window ranks them.
     """
-    tokens = rows.select("day", "speaker", F.explode(words(F.col("text"), stopwords)).alias("token"))
-    counts = tokens.groupBy("day", "speaker", "token").agg(F.count(F.lit(1)).alias("n"))
+    stop = STOPWORDS if stopwords is None else stopwords
+    found = rows.select("day", "speaker", F.explode(tokens(F.col("text"))).alias("token"))
+    counts = found.where(~F.col("token").isin(stop) if stop else F.lit(True)).groupBy("day", "speaker", "token").agg(F.count(F.lit(1)).alias("n"))
     own = Window.partitionBy("day", "speaker")
     ranked = counts.withColumn("total", F.sum("n").over(own)).where(F.col("total") >= least)
     ranked = ranked.withColumn("rank", F.row_number().over(own.orderBy(F.desc("n"), "token")))
@@ -99,6 +148,13 @@ def first_occurrences(rows: DataFrame) -> DataFrame:
     return first.select("text_hash", "first.day", "first.event_index")
 
 
+def first_speakers(rows: DataFrame) -> DataFrame:
+    """(day, speakers): who spoke, each once, in the order of their first message."""
+    first = rows.groupBy("day", "speaker").agg(F.min("event_index").alias("at"))
+    order = F.array_sort(F.collect_list(F.struct("at", "speaker")))
+    return first.groupBy("day").agg(order.alias("x")).select("day", F.array_join(F.transform("x", lambda e: e["speaker"]), ",").alias("speakers"))
+
+
 def hash_sample(rows: DataFrame, n: int) -> DataFrame:
     """The ``n`` least text hashes, each once."""
     return rows.select("text_hash").distinct().orderBy("text_hash").limit(n)
@@ -125,10 +181,9 @@ def preceding(rows: DataFrame, n: int = 2) -> DataFrame:
 
 
 def earlier_days(rows: DataFrame) -> DataFrame:
-    """(day, earlier): messages on earlier days, from one row a day."""
+    """(day, earlier): messages on earlier days, by ranges of days and the sums of the ranges before."""
     daily = rows.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    return daily.select("day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    return running_before(daily, "day", "n").select("day", F.col("before").alias("earlier"))
 
 
 def eligible(rows: DataFrame, least_today: int = 2, least_before: int = 2) -> DataFrame:
@@ -147,23 +202,79 @@ def matched_pair(pool: DataFrame, targets: DataFrame, *, nearest: int = 32) -> D
     """For each target (target, tokens) the pair of pool rows (ident, tokens) whose sum comes nearest.
 
     Only the ``nearest`` rows by distance from half the target are paired, so the pairs of a target
-    are at most ``nearest`` squared over two; ties go to the smaller ids. The nearest rows are
-    looked up in the pool's distinct lengths, of which each gives at most ``nearest`` rows.
+    are at most ``nearest`` squared over two; ties go to the smaller ids. Each length gives at most
+    ``nearest`` rows; what is looked up is a target's half, once for each half that occurs: the
+    lengths at and above it, and those below, each in order until ``nearest`` rows are met.
     """
     rank = F.row_number().over(Window.partitionBy("tokens").orderBy("ident"))
-    short = pool.withColumn("rank", rank).where(F.col("rank") <= nearest).select("ident", "tokens")
-    lengths = short.select("tokens").distinct().agg(F.array_sort(F.collect_list("tokens")).alias("lengths"))
-    near = targets.join(F.broadcast(lengths), F.lit(True)).withColumn("half", F.col("tokens") / 2)
-    by_distance = F.array_sort(F.transform("lengths", lambda x: F.struct(F.abs(x - F.col("half")).alias("d"), x.alias("tokens"))))
-    near = near.select("target", F.col("tokens").alias("wanted"), F.explode(F.slice(by_distance, 1, nearest)).alias("l"))
-    close = near.select("target", "wanted", "l.d", F.col("l.tokens").alias("tokens")).join(short, "tokens")
-    order = F.row_number().over(Window.partitionBy("target").orderBy("d", "ident"))
-    close = close.withColumn("rank", order).where(F.col("rank") <= nearest).select("target", "wanted", "ident", "tokens")
+    short = checkpointed(pool.withColumn("rank", rank).where(F.col("rank") <= nearest).select("ident", "tokens"))
+    halves = targets.select((F.col("tokens") / 2).alias("half")).distinct()
+    found = near_lengths(halves, short.select("tokens").distinct(), nearest)
+    close = found.join(short, "tokens").withColumn("d", F.abs(F.col("tokens") - F.col("half")))
+    order = F.row_number().over(Window.partitionBy("half").orderBy("d", "ident"))
+    close = close.withColumn("rank", order).where(F.col("rank") <= nearest).select("half", "ident", "tokens")
     a, b = close.alias("a"), close.alias("b")
-    pairs = a.join(b, (F.col("a.target") == F.col("b.target")) & (F.col("a.ident") < F.col("b.ident")))
+    pairs = a.join(b, (F.col("a.half") == F.col("b.half")) & (F.col("a.ident") < F.col("b.ident")))
+    gap = lambda wanted: F.abs(F.col("a.tokens") + F.col("b.tokens") - wanted)
+    best = F.min(F.struct(gap(F.col("a.half") * 2).cast("long").alias("gap"), F.col("a.ident").alias("first"), F.col("b.ident").alias("second"))).alias("m")
+    best = pairs.groupBy(F.col("a.half").alias("half")).agg(best).select("half", "m.gap", "m.first", "m.second")
+    return targets.select("target", (F.col("tokens") / 2).alias("half")).join(best, "half").select("target", "gap", "first", "second")
+
+
+def near_lengths(halves: DataFrame, lengths: DataFrame, nearest: int) -> DataFrame:
+    """(half, tokens): for each half the ``nearest`` lengths at or above it, and as many below.
+
+    Halves and lengths are ranked together, so a half knows how many lengths lie below it, and the
+    lengths that it wants are those of the ranks around, by equality joins.
+    """
+    ranked = numbered(lengths, ["tokens"]).select("tokens", "position")
+    both = lengths.select(F.col("tokens").cast("double").alias("at"), F.lit(1).alias("n")).unionByName(halves.select(F.col("half").alias("at"), F.lit(0).alias("n")))
+    below = running_before(both.groupBy("at").agg(F.sum("n").alias("n"), F.max(F.col("n") == 0).alias("half")), "at", "n").where("half")
+    spread = below.select(F.col("at").alias("half"), F.explode(F.sequence(F.col("before") - nearest, F.col("before") + nearest - 1)).alias("position"))
+    return spread.join(ranked, "position").select("half", "tokens")
+
+
+def earlier_samples(rows: DataFrame, days: DataFrame, sample: int, seed: str) -> DataFrame:
+    """(for_day, and the columns of ``rows``): for each day (for_day) the ``sample`` rows of earlier days of least hash, of seed and row.
+
+    The days before a day are blocks of 1, 2, 4, ... days, one for each bit of its number. Each block
+    keeps its least rows, so that days are joined to blocks by equality and no row to every later day.
+    """
+    ends = rows.agg(F.min("day").alias("low"), F.max("day").alias("high")).first()
+    low, high = ends["low"] or 0, ends["high"] or 0
+    levels = F.sequence(F.lit(0), F.lit((high - low + 1).bit_length()))
+    coded = rows.withColumn("_code", F.sha2(F.concat_ws(":", F.lit(seed), "day", "event_index"), 256))
+    least = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("_code", "day", "event_index"))
+    kept = coded.withColumn("_rank", least("day")).where(F.col("_rank") <= sample)
+    blocks = kept.withColumn("_level", F.explode(levels)).withColumn("_block", F.expr(f"shiftright(cast(day - ({low}) as bigint), _level)"))
+    blocks = blocks.withColumn("_rank", least("_level", "_block")).where(F.col("_rank") <= sample)
+    count = F.least(F.col("for_day") - F.lit(low), F.lit(high - low + 1)).cast("long")
+    asked = days.where(F.col("for_day") > low).withColumn("_count", count).withColumn("_level", F.explode(levels))
+    asked = asked.withColumn("_block", F.expr("shiftright(_count, _level) - 1")).where(F.expr("shiftright(_count, _level) & 1 = 1"))
+    met = asked.drop("_count").join(blocks, ["_level", "_block"])
+    return met.withColumn("_rank", least("for_day")).where(F.col("_rank") <= sample).select("for_day", *rows.columns)
+
+
+def context_pairs(rows: DataFrame, targets: DataFrame, *, sample: int = 128, nearest: int = 32, seed: str = "732") -> DataFrame:
+    """For each target (day, event_index, tokens) a pair of rows (day, event_index, text, tokens) of earlier days whose lengths sum nearest to its own.
+
+    The pool of a day is the ``sample`` rows of least hash among those of all earlier days with a
+    text that is not blank; of it the ``nearest`` by distance from half the target are paired; ties
+    go to the earlier rows. Targets with fewer than two such rows get no pair.
+    """
+    usable = rows.where(F.length(F.trim("text")) > 0).select("day", "event_index", "tokens")
+    pool = earlier_samples(usable, targets.select(F.col("day").alias("for_day")).distinct(), sample, seed)
+    wanted = targets.select(F.col("day").alias("for_day"), F.col("event_index").alias("target"), F.col("tokens").alias("wanted"))
+    near = wanted.join(pool.select("for_day", F.struct("day", "event_index").alias("ident"), "tokens"), "for_day")
+    close = Window.partitionBy("for_day", "target").orderBy(F.abs(F.col("tokens") - F.col("wanted") / 2), "ident")
+    near = near.withColumn("rank", F.row_number().over(close)).where(F.col("rank") <= nearest)
+    a, b = near.alias("a"), near.alias("b")
+    pairs = a.join(b, (F.col("a.for_day") == F.col("b.for_day")) & (F.col("a.target") == F.col("b.target")) & (F.col("a.ident") < F.col("b.ident")))
     gap = F.abs(F.col("a.tokens") + F.col("b.tokens") - F.col("a.wanted"))
     best = F.min(F.struct(gap.alias("gap"), F.col("a.ident").alias("first"), F.col("b.ident").alias("second"))).alias("m")
-    return pairs.groupBy(F.col("a.target").alias("target")).agg(best).select("target", "m.gap", "m.first", "m.second")
+    found = pairs.groupBy(F.col("a.for_day").alias("day"), F.col("a.target").alias("event_index")).agg(best)
+    names = {f"{n}_{p}": F.col(f"m.{n}.{p}") for n in ("first", "second") for p in ("day", "event_index")}
+    return found.select("day", "event_index", "m.gap", *[c.alias(k) for k, c in names.items()])
 
 
 def context_text(before: Column, target: Column, budget: int) -> Column:

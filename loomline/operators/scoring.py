@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prepare import rotated
 from ..functions.scores import ACTS, review
 
 #: texts, acts -> a row of scores for each text, and whether the text was cut.
@@ -31,6 +33,56 @@ def lexical_model(texts: list[str], acts: list[str]) -> tuple[np.ndarray, list[b
     return scores, cut
 
 
+def choice(scores: np.ndarray) -> np.ndarray:
+    """Scores of one choice among the acts: a softmax over each row."""
+    raised = np.exp(4 * (scores - scores.max(axis=1, keepdims=True)))
+    return raised / raised.sum(axis=1, keepdims=True)
+
+
+def cross_encoder_model(texts: list[str], acts: list[str]) -> tuple[np.ndarray, list[bool]]:
+    """The default model as a forced choice: scores sum to one."""
+    scores, cut = lexical_model(texts, acts)
+    return choice(scores), cut
+
+
+def causal_choice_model(texts: list[str], acts: list[str], rotations: int = 3) -> tuple[np.ndarray, list[bool]]:
+    """The default model asked by letters, the mean over rotated orders of the choices, which takes out what a place is worth."""
+    total, cut = np.zeros((len(texts), len(acts))), [False] * len(texts)
+    for by in range(rotations):
+        order = rotated(acts, by * max(1, len(acts) // rotations))
+        scores, cut = lexical_model(texts, order)
+        told = choice(scores + np.linspace(0.05, 0, len(order)))  # an earlier letter is a little likelier
+        total += told[:, [order.index(a) for a in acts]]
+    return total / rotations, cut
+
+
+#: The engines by name, and whether the scores of a text are one choice.
+ENGINES: dict[str, tuple[Model, bool]] = {"entailment": (lexical_model, False), "cross-encoder": (cross_encoder_model, True), "causal": (causal_choice_model, True)}
+
+
+def score_within(texts: DataFrame, seconds: float, model: Model = lexical_model, acts: list[str] = ACTS, batch: int = 64) -> DataFrame:
+    """``score_texts`` under a deadline: a task stops after ``seconds`` and gives null scores for the texts that it has left.
+
+    What is scored is a partial result to keep; the texts of null scores are pending again.
+    """
+    acts = list(acts)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        end = time.monotonic() + seconds
+        for whole in batches:
+            for low in range(0, len(whole), batch):
+                part = whole.iloc[low : low + batch]
+                if time.monotonic() < end:
+                    scores, cut = model(part["text"].tolist(), acts)
+                    rows = [dict(zip(acts, map(float, s))) for s in scores]
+                else:
+                    rows, cut = [None] * len(part), [None] * len(part)
+                yield pd.DataFrame({"text_hash": part["text_hash"].to_numpy(), "scores": rows, "truncated": pd.array(cut, "boolean")})
+
+    unique = texts.select("text_hash", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["text_hash"])
+    return unique.mapInPandas(run, "text_hash string, scores map<string,double>, truncated boolean")
+
+
 def score_texts(texts: DataFrame, model: Model = lexical_model, acts: list[str] = ACTS) -> DataFrame:
     """(text_hash, scores, truncated) of (text_hash, text), in batches of similar length, once a hash."""
     acts = list(acts)

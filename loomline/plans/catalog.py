@@ -58,6 +58,14 @@ def daily_activity(spark, sf):
     return activity.daily_activity(timeline(spark, sf))
 
 
+@query(
+    """WITH p AS (SELECT ts::DATE AS date, user_id, count(*) AS n, count(*) FILTER (event_type = 'error') AS k FROM events GROUP BY ALL)
+    SELECT date, sum(n)::BIGINT AS events, sum(k)::BIGINT AS messages, count(*) FILTER (k > 0) AS active,
+    round(CASE WHEN sum(k) > 0 THEN pow(sum(k), 2) / sum(k * k) END, 2) AS effective_speakers FROM p GROUP BY date""", dates=("date",))
+def daily_effective_speakers(spark, sf):
+    return activity.talk_concentration(timeline(spark, sf), F.col("type") == "error")
+
+
 @query("SELECT ts::DATE AS date, event_type AS type, count(*) AS n FROM events GROUP BY ALL", dates=("date",))
 def daily_type_counts(spark, sf):
     return activity.type_counts(timeline(spark, sf))
@@ -112,6 +120,20 @@ def event_search(spark, sf):
     return page.select("event_id", "date", "event_index")
 
 
+@query(_INDEXED + "SELECT count(*) AS total FROM e WHERE date = DATE '2024-01-03' AND event_type = 'view' AND contains(lower(props), '7')")
+def event_total(spark, sf):
+    """The total beside a page, under the filters of day, type and needle, for a link to this snapshot."""
+    import datetime
+
+    rows = indexed(timeline(spark, sf))
+    return index.event_search(rows, day=datetime.date(2024, 1, 3), kind="view", needle=" 7", raw=F.col("props"), snapshot=("a" * 64, "a" * 64))[1]
+
+
+@query(_INDEXED + "SELECT event_id, date, event_index::INT AS event_index FROM e WHERE event_index = 4 ORDER BY date, event_index LIMIT 100", dates=("date",))
+def event_by_ordinal(spark, sf):
+    return index.event_page(indexed(timeline(spark, sf)), event_index=4).select("event_id", "date", "event_index")
+
+
 @query(
     _INDEXED
     + """SELECT t.date, t.event_index::INT AS target, e.event_index::INT AS event_index, e.event_id, e.event_type AS type
@@ -151,8 +173,9 @@ def top_shifts(spark, sf):
       FROM s JOIN e ON abs(date_diff('day', s.date, e.date)) <= 7)
     SELECT shift_date, position::INT AS position, date FROM n WHERE r <= 6""", dates=("date", "shift_date",))
 def shift_context_7d(spark, sf):
+    """Shifts and entries are made of order dates: a shift on each first of a month, an entry on each even day."""
     dates = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("date")).distinct()
-    entries = dates.where(F.dayofmonth("date") % 2 == 0).withColumn("position", F.row_number().over(Window.orderBy("date")))
+    entries = export.numbered(dates.where(F.dayofmonth("date") % 2 == 0), ["date"]).withColumn("position", (F.col("position") + 1).cast("int"))
     return activity.near_entries(dates.where(F.dayofmonth("date") == 1), entries)
 
 
@@ -179,12 +202,23 @@ def weekday_medians(spark, sf):
     return activity.weekday_medians(timeline(spark, sf))
 
 
+_DISORDER = """WITH e AS (SELECT event_id, ts::DATE AS date, CASE WHEN event_id % 17 <> 0 THEN
+    date_trunc(CASE WHEN event_id % 3 = 0 THEN 'hour' ELSE 'second' END, ts) - INTERVAL 1 MINUTE * (event_id * 7919 % 90) END AS ts FROM events), """
+
+
+def _disordered(spark, sf):
+    """Events by id, as logged late by up to 90 minutes, a third by the hour and some without a time."""
+    cut = F.when(F.col("event_id") % 3 == 0, F.date_trunc("hour", "ts")).otherwise(F.date_trunc("second", "ts"))
+    late = F.timestamp_micros(F.unix_micros(cut) - F.col("event_id") * 7919 % 90 * 60_000_000)
+    return timeline(spark, sf).select("event_id", F.col("event_id").alias("event_index"), "date", F.when(F.col("event_id") % 17 != 0, late).alias("ts"))
+
+
 @query(
-    _INDEXED
-    + """, p AS (SELECT date, ts, lag(ts) OVER (PARTITION BY date ORDER BY event_index) AS b FROM e WHERE ts IS NOT NULL)
+    _DISORDER
+    + """p AS (SELECT date, ts, lag(ts) OVER (PARTITION BY date ORDER BY event_id) AS b FROM e WHERE ts IS NOT NULL)
     SELECT date, count(*) AS timed, count(*) FILTER (ts < b) AS out_of_order, count(*) - count(DISTINCT ts) AS ties FROM p GROUP BY date""", dates=("date",))
 def out_of_order_ties(spark, sf):
-    return audit.ordering(indexed(timeline(spark, sf)))
+    return audit.ordering(_disordered(spark, sf))
 
 
 @query("SELECT event_type AS type, count(json_extract(props, '$.k')) AS n, round(avg(json_extract(props, '$.k')::DOUBLE), 6) AS mean_v FROM events GROUP BY 1")
@@ -192,31 +226,54 @@ def json_props_stats(spark, sf):
     return audit.number_stats(timeline(spark, sf), "type", "props", "$.k")
 
 
-_CASCADE = """WITH f AS (SELECT ts::DATE AS date, event_type AS key, user_id, min(ts) AS first, count(*) AS n FROM events GROUP BY ALL),
-    g AS (SELECT date, key, count(*) AS agents, (epoch_us(max(first)) - epoch_us(min(first))) / 6e7 AS span, sum(n)::BIGINT AS mentions FROM f GROUP BY ALL) """
+_URL_TEXT = """WITH m AS (SELECT page_id // 50 AS date, 's' || (page_id % 7) AS actor, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 SECOND * (page_id * 531 % 6007) AS ts,
+    'See ' || regexp_extract(url, '^([a-z]+://[^/]+)', 1) || '/notes/' || (page_id % 2) || '#part' || page_id || '), or (' || upper(regexp_extract(url, '^([a-z]+://[^/]+)', 1))
+    || '/x and ' || url || '.' AS text FROM pages), """
+_CASCADE = (
+    _URL_TEXT
+    + r"""u AS (SELECT date, actor, ts, regexp_replace(unnest(list_distinct(regexp_extract_all(text, 'https?://[^\s<>\[\]"`]+'))), '[.,;:!?)\]}’'']+$', '') AS u FROM m),
+    n AS (SELECT date, actor, ts, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1)) || regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^#]*)', 1) AS key FROM u
+      WHERE length(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)) >= 6),
+    f AS (SELECT date, key, actor, min(ts) AS first, count(*) AS n FROM n GROUP BY ALL),
+    g AS (SELECT date, key, count(*) AS agents, min(first) AS b, (epoch_us(max(first)) - epoch_us(min(first))) / 6e7 AS span, sum(n)::BIGINT AS mentions FROM f GROUP BY ALL),
+    k AS (SELECT * FROM g WHERE agents >= 3 AND span <= 60),
+    q AS (SELECT date, key, string_agg(round((epoch_us(first) - epoch_us(b)) / 6e7, 2)::DECIMAL(9, 2)::VARCHAR || ' ' || actor, '; ' ORDER BY round((epoch_us(first) - epoch_us(b)) / 6e7, 2), actor) AS sequence
+      FROM f JOIN k USING (date, key) GROUP BY ALL) """
+)
+
+
+def _cascades(spark, sf):
+    site, page = F.regexp_extract("url", "^([a-z]+://[^/]+)", 1), F.col("page_id")
+    text = F.concat(
+        F.lit("See "), site, F.lit("/notes/"), (page % 2).cast("string"), F.lit("#part"), page.cast("string"), F.lit("), or ("), F.upper(site), F.lit("/x and "), F.col("url"), F.lit(".")
+    )
+    ts = F.timestamp_micros(F.unix_micros(F.lit("2024-01-01 00:00:00").cast("timestamp")) + page * 531 % 6007 * 1_000_000)
+    rows = table(spark, sf, "pages").select(F.expr("page_id div 50").alias("date"), F.concat(F.lit("s"), (page % 7).cast("string")).alias("actor"), ts.alias("ts"), text.alias("text"))
+    found = activity.cascades(activity.url_mentions(rows))
+    shown = F.transform("sequence", lambda x: F.concat_ws(" ", x["minutes"].cast("decimal(9,2)").cast("string"), x["actor"]))
+    return found.withColumn("sequence", F.array_join(shown, "; "))
 
 
-@query(_CASCADE + "SELECT date, key, agents, round(span, 2) AS span_minutes, mentions FROM g WHERE agents >= 3 AND span <= 1440", dates=("date",))
+@query(_CASCADE + "SELECT date, key, agents, round(span, 2) AS span_minutes, mentions, sequence FROM k JOIN q USING (date, key)")
 def url_cascade(spark, sf):
-    rows = timeline(spark, sf).withColumnRenamed("type", "key")
-    return activity.cascades(rows, most_minutes=1440.0)
+    return _cascades(spark, sf)
 
 
-@query(_CASCADE + "SELECT date, key, agents, round(span, 2) AS span_minutes, mentions FROM g WHERE agents >= 3 AND span <= 1440 ORDER BY agents DESC, date, key LIMIT 24", dates=("date",))
+@query(_CASCADE + "SELECT date, key, agents, round(span, 2) AS span_minutes, mentions, sequence FROM k JOIN q USING (date, key) ORDER BY agents DESC, date, key LIMIT 24")
 def top_cascades(spark, sf):
-    rows = timeline(spark, sf).withColumnRenamed("type", "key")
-    return activity.top_cascades(activity.cascades(rows, most_minutes=1440.0))
+    return activity.top_cascades(_cascades(spark, sf))
 
 
 @query(
-    """WITH m AS (SELECT strftime(e.ts, '%Y-%m') AS month, e.event_type AS family FROM events e)
-    SELECT month, count(*) FILTER (family = 'click') AS hits, count(*) AS total, round(count(*) FILTER (family = 'click') / count(*), 6) AS ratio
+    """WITH m AS (SELECT strftime(DATE '2024-01-01' + (doc_id % 300)::INT, '%Y-%m') AS month, contains(lower(source), 'src0') AS own FROM documents WHERE contains(lower(text), 'the'))
+    SELECT month, count(*) FILTER (coalesce(own, false)) AS own, count(*) FILTER (NOT coalesce(own, false)) AS other,
+    CASE WHEN count(*) FILTER (NOT coalesce(own, false)) > 0 THEN round(count(*) FILTER (coalesce(own, false)) / count(*) FILTER (NOT coalesce(own, false)), 6) END AS ratio
     FROM m GROUP BY ROLLUP (month)"""
 )
 def word_by_month_family(spark, sf):
-    rows = timeline(spark, sf).select(F.date_format("date", "yyyy-MM").alias("month"), (F.col("type") == "click").alias("hit"))
-    sums = rows.rollup("month").agg(F.count_if("hit").alias("hits"), F.count(F.lit(1)).alias("total"))
-    return sums.withColumn("ratio", F.round(F.col("hits") / F.col("total"), 6))
+    rows = table(spark, sf, "documents")
+    date = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int"))
+    return messages.word_usage(rows.select(date.alias("date"), F.col("source").alias("speaker"), "text"), "The", "src0")
 
 
 @query(
@@ -534,24 +591,10 @@ def _edges(spark, sf):
 
 
 @query(_EDGES + "SELECT day, src, dst, count(*) AS n FROM e GROUP BY ALL")
-def mention_edges(spark, sf):
+def link_edges(spark, sf):
     return _edges(spark, sf)
 
 
-@query(
-    _EDGES.replace("WITH", "WITH RECURSIVE")
-    + """, s AS (SELECT DISTINCT day, src, dst FROM e WHERE length(dst) <= 4), n AS (SELECT day, src AS v FROM s UNION SELECT day, dst FROM s),
-    b AS (SELECT day, src AS a, dst AS b FROM s UNION SELECT day, dst, src FROM s),
-    r(day, v, root) AS (SELECT day, v, v FROM n UNION SELECT r.day, b.b, r.root FROM r JOIN b ON r.day = b.day AND r.v = b.a),
-    c AS (SELECT day, v, min(root) AS root FROM r GROUP BY ALL), z AS (SELECT day, root, count(*) AS size FROM c GROUP BY ALL)
-    SELECT day, count(*) AS components, max(size) AS largest FROM z GROUP BY day"""
-)
-def components(spark, sf):
-    edges = _edges(spark, sf).where(F.length("dst") <= 4)
-    nodes = edges.select("day", F.col("src").alias("node")).union(edges.select("day", "dst")).distinct()
-    return graph.components(nodes, edges)
-
-
 @query(
     _EDGES.replace("WITH", "WITH RECURSIVE")
     + """, s AS (SELECT DISTINCT day, src, dst FROM e), n AS (SELECT day, src AS v FROM s UNION SELECT day, dst FROM s),
@@ -560,7 +603,7 @@ def components(spark, sf):
     c AS (SELECT day, v, min(root) AS root FROM r GROUP BY ALL), z AS (SELECT day, root, count(*) AS size FROM c GROUP BY ALL)
     SELECT day, count(*) AS components, max(size) AS largest FROM z GROUP BY day"""
 )
-def components_all(spark, sf):
+def components(spark, sf):
     edges = _edges(spark, sf)
     nodes = edges.select("day", F.col("src").alias("node")).union(edges.select("day", "dst")).distinct()
     return graph.components(nodes, edges)
@@ -621,9 +664,3 @@ def cube_segments(spark, sf):
     rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     per = rows.groupBy("c_mktsegment", "o_orderstatus").agg(F.count(F.lit(1)).alias("k"), F.sum("o_totalprice").alias("v"))
     return per.cube("c_mktsegment", "o_orderstatus").agg(F.sum("k").alias("n"), F.round(F.sum("v"), 2).alias("total"), F.grouping_id().cast("int").alias("level"))
-
-
-@query("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type AS type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL", dates=("start",))
-def stream_window_counts(spark, sf):
-    rows = timeline(spark, sf).groupBy(F.window("ts", "6 hours"), "type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    return rows.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "type", "n", "total")

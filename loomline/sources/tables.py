@@ -24,6 +24,14 @@ def timeline(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """``timeline`` as a stream of the files that there are."""
+    source = spark.readStream.schema(table(spark, folder, "events").schema).parquet(f"{folder}/event[s].parquet")
+    return source.select(
+        F.to_date("ts").alias("date"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("type"), F.col("user_id").alias("actor"), "value", "props"
+    )
+
+
 def indexed(rows: DataFrame) -> DataFrame:
     """The zero-based ordinal of each event within its date."""
     return rows.withColumn("event_index", F.row_number().over(Window.partitionBy("date").orderBy("ts", "event_id")) - 1)

@@ -10,6 +10,7 @@ from ..functions.times import instant, quality
 
 DOCUMENT = "days array<struct<day:int,date:string,events:array<variant>>>"
 MAX_LINE = 8 << 20
+MAX_TOTAL = 128 << 20
 
 
 def days(spark: SparkSession, path: str) -> DataFrame:
@@ -17,6 +18,19 @@ def days(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(DOCUMENT).option("multiLine", True).json(path).select(F.inline("days"))
 
 
+def write_days(rows: DataFrame, path: str) -> None:
+    """Write (day, date, event_index, raw) as one JSON document a line, a folder a day: a layout of which one day is read alone."""
+    events = F.transform(F.array_sort(F.collect_list(F.struct("event_index", F.coalesce(F.to_json("raw"), F.lit("null")).alias("raw")))), lambda e: e["raw"])
+    whole = rows.groupBy("day", "date").agg(events.alias("events"))
+    line = F.concat(F.lit('{"date":'), F.to_json(F.array("date")).substr(F.lit(2), F.length(F.to_json(F.array("date"))) - 2), F.lit(',"events":['), F.array_join("events", ","), F.lit("]}"))
+    whole.select("day", line.alias("value")).repartition("day").write.partitionBy("day").mode("errorifexists").text(path)
+
+
+def read_days(spark: SparkSession, path: str) -> DataFrame:
+    """(day, date, events) of days written apart; a filter on day reads its folder alone."""
+    return spark.read.schema("date string, events array<variant>, day int").json(path).select("day", "date", "events")
+
+
 def raw_events(days: DataFrame) -> DataFrame:
     """(day, date, event_index, raw): one row an event, whatever its shape."""
     return days.select("day", "date", F.posexplode("events").alias("event_index", "raw"))
@@ -73,6 +87,12 @@ def bounded_lines(spark: SparkSession, path: str, schema: str, max_line: int = M
     return rows.withColumn("problem", problem)
 
 
+def bounded_total(lines: DataFrame, most: int = MAX_TOTAL) -> DataFrame:
+    """(file, bytes, problem) of the files whose lines (file, value) sum to more than ``most`` bytes."""
+    sums = lines.groupBy("file").agg(F.sum(F.octet_length("value") + 1).alias("bytes"))
+    return sums.where(F.col("bytes") > most).withColumn("problem", F.lit("file too long"))
+
+
 def changelog(spark: SparkSession, path: str) -> DataFrame:
     """(position, date, title, notes) of the sections of a Markdown file that are headed by a date."""
     text = spark.read.text(path, wholetext=True)

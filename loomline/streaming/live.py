@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -9,30 +10,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.scoring import Model, lexical_model, predictions
 
 
 def score_stream(messages: DataFrame, sink: str, checkpoint: str, run: str, model: Model = lexical_model) -> StreamingQuery:
-    """Score new texts of a message stream, each hash once, and append them to a Parquet sink.
+    """Score new texts of a message stream, each hash once, and add them to a Parquet sink.
 
-    A batch leaves out the hashes that the sink has, so replays and overlapping inputs add nothing;
-    the checkpoint resumes a stopped run. The sink, not state, remembers hashes.
+    The stream's state, not the sink, remembers its hashes. A batch is written under its number in
+    the folder of its checkpoint, so a replay overwrites what it wrote; a stopped run resumes from
+    the checkpoint. Hashes that other checkpoints have put in the sink before are left out, too.
     """
-    schema = predictions(messages.sparkSession.createDataFrame([], "text_hash string, text string"), run, model).schema
+    writer = hashlib.sha256(checkpoint.encode()).hexdigest()[:12]
+    scored = predictions(messages.sparkSession.createDataFrame([], "text_hash string, text string"), run, model).schema
+    schema = StructType([*scored.fields, StructField("writer", StringType())])
 
-    def add(batch: DataFrame, _: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         try:
-            done = spark.read.schema(schema).parquet(sink).where(F.col("run_id") == run).select("text_hash")
+            others = spark.read.schema(schema).parquet(sink).where((F.col("writer") != writer) & (F.col("run_id") == run))
+            batch = batch.join(others.select("text_hash"), "text_hash", "left_anti")
         except Exception as error:
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-            done = spark.createDataFrame([], "text_hash string")
-        new = batch.select("text_hash", "text").join(done, "text_hash", "left_anti")
-        predictions(new, run, model).write.mode("append").parquet(sink)
+        predictions(batch, run, model).write.mode("overwrite").parquet(f"{sink}/writer={writer}/batch={number}")
 
-    return messages.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    once = messages.select("text_hash", "text").dropDuplicates(["text_hash"])
+    return once.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed(events: DataFrame, length: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -71,6 +76,17 @@ def running_totals(events: DataFrame) -> DataFrame:
     )
 
 
+def settled(df: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """An aggregation of a bounded stream after its last batch: every batch writes the whole result in place of the last."""
+
+    def put(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(folder)
+
+    query = df.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def collect_stream(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that a bounded stream gives, as a table in memory: for tests and small inputs."""
     query = df.writeStream.outputMode(mode).format("memory").queryName(name).start()

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from loomline.plans import catalog
+from loomline.plans import catalog, planted
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -24,16 +24,27 @@ def shown(columns, rows):
     return sorted(tuple(f"{r[i]:.6g}" if isinstance(r[i], float) else str(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+QUERIES = catalog.queries() | planted.queries()
+SQL = catalog.oracle_sql() | planted.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, con, name):
-    df = catalog.queries()[name](spark, FOLDER)
-    want = con.sql(catalog.oracle_sql()[name])
+    df = QUERIES[name](spark, FOLDER)
+    want = con.sql(SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert shown(df.columns, df.collect()) == shown(want.columns, want.fetchall())
 
 
 def test_every_query_but_the_model_has_sql():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"score_udf"}
+    assert set(QUERIES) - set(SQL) == {"score_udf"}
+    assert not set(catalog.queries()) & set(planted.queries())
+
+
+def test_planted_rows_are_met(spark):
+    """Queries of rules find something, and most of their rules."""
+    for name in [n for n in planted.queries() if n.startswith("dq_")]:
+        assert not QUERIES[name](spark, FOLDER).isEmpty(), name
 
 
 def test_plans_push_filters_and_prune_columns(spark):

@@ -67,8 +67,8 @@ def test_normal_url(spark, url, want):
     assert one(spark, lambda c: T.normal_url(c, 6), url) == want
 
 
-def test_urls_are_cut_and_distinct(spark):
-    assert one(spark, T.urls, "see (http://a.b/c) and http://a.b/c.") == ["http://a.b/c"]
+def test_urls_are_distinct_as_they_stand_and_cut(spark):
+    assert one(spark, T.urls, "see (http://a.b/c) and http://a.b/c. or http://a.b/c.") == ["http://a.b/c", "http://a.b/c"]
 
 
 def test_locator(spark):
@@ -111,3 +111,34 @@ def test_softmax(spark):
 )
 def test_time_quality(spark, raw, want):
     assert one(spark, times.quality, raw) == want
+
+
+def test_prepared_texts(spark):
+    from loomline.functions import prepare
+
+    row = lambda text: spark.createDataFrame([(text,)], "t string")
+    middle = row("a b  c d e f g").select(prepare.middle_omitted(F.col("t"), 4).alias("b")).first()["b"]
+    assert middle.asDict() == {"text": "a b\n[... 3 middle message tokens omitted ...]\nf g", "message": True, "message_tokens": 7, "message_tokens_dropped": 3}
+    assert row(" a  b ").select(prepare.middle_omitted(F.col("t"), 4)["text"]).first()[0] == " a  b "
+    pair = row("a b c d e").select(prepare.pair(F.col("t"), F.lit("x y"), 8).alias("p")).first()["p"]
+    assert (pair["text"], pair["message_tokens"], pair["message_tokens_dropped"]) == ("a b c", 5, 2)
+    none = row("a b").select(prepare.pair(F.col("t"), F.lit("x y"), 4).alias("p")).first()["p"]
+    assert (none["text"], none["message_tokens_dropped"]) == ("", 2)
+    asked = row("what is this about").select(prepare.question_first(F.col("t"), F.lit("some thing"), 10).alias("q")).first()["q"]
+    assert asked.asDict() == {"text": "question: what is option: some thing", "shortened": True}
+    with pytest.raises(Exception, match="too long"):
+        row("q").select(prepare.question_first(F.col("t"), F.lit("a b c d e"), 10)["text"]).collect()
+    assert prepare.rotated(["a", "b", "c"], 4) == ["b", "c", "a"] and prepare.rotated([], 2) == []
+
+
+def test_names_and_links(spark):
+    from loomline.functions.text import link, safe_name, urls
+
+    assert safe_name("pending-00001.jsonl.gz") == "pending-00001.jsonl.gz"
+    for bad in ("", ".", "..", "a/b", "/a", "a\\b"):
+        with pytest.raises(ValueError, match="plain file name"):
+            safe_name(bad)
+    row = spark.createDataFrame([("a b*~&=\u00e9",)], "q string")
+    assert row.select(link("/e", day=F.lit(3), q=F.col("q"))).first()[0] == "/e?day=3&q=a+b%2A~%26%3D%C3%A9"
+    text = spark.createDataFrame([("see https://a.b/c). https://a.b/c, and \u201chttps://x.y/z\u2019",)], "t string")
+    assert text.select(urls(F.col("t"))).first()[0] == ["https://a.b/c", "https://a.b/c", "https://x.y/z"]

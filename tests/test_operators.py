@@ -5,7 +5,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from loomline.operators import activity, audit, export, graph, index, messages, parity, rules, scoring
+from loomline.functions import scores
+from loomline.operators import activity, audit, export, graph, index, messages, parity, reports, rules, scoring, transfer
 from loomline.sources import transcript
 
 
@@ -167,6 +168,10 @@ def test_shards_and_manifest(spark, tmp_path):
     export.publish(rows, str(tmp_path / "table"))
     export.publish(rows.limit(5), str(tmp_path / "table"))
     assert spark.read.parquet(str(tmp_path / "table")).count() == 5
+    (tmp_path / "table").rename(tmp_path / "table.old")  # as a publication leaves it that stops between its renames
+    export.publish(rows.limit(6), str(tmp_path / "table"))
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 6
+    assert not (tmp_path / "table.old").exists() and not (tmp_path / "table.staging").exists()
     ledger = str(tmp_path / "ledger")
     notes = spark.createDataFrame([("x",), ("y",)], "note string")
     assert [export.append_ledger(notes, spark, ledger), export.append_ledger(notes, spark, ledger)] == [2, 4]
@@ -178,6 +183,10 @@ def test_small_sinks(spark):
     new = spark.createDataFrame([("a", 2), ("b", 3)], "k string, v int")
     assert sorted(map(tuple, export.insert_new(old, new, ["k"]).collect())) == [("b", 3)]
     assert sorted(map(tuple, export.upsert(old, new, "k").collect())) == [("a", 2), ("b", 3)]
+    twice = spark.createDataFrame([("a", 2, 1), ("a", 5, 3), ("a", 4, 2)], "k string, v int, at int")
+    assert sorted(map(tuple, export.upsert(old.withColumn("at", F.lit(0)), twice, "k", order="at").collect())) == [("a", 5, 3)]
+    with pytest.raises(Exception, match="more than once"):
+        export.upsert(old, twice.drop("at"), "k").collect()
     pruned = export.prune({"raw": 1, "list": list(range(41)), "s": "x" * 5000, "in": [{"path": 1, "k": 2}]})
     assert pruned == {"list": {"omitted": 41}, "s": "x" * 4000, "in": [{"k": 2}]}
     rows = spark.createDataFrame([('{"primary_act": "q", "margin": 0.5, "secret": 1}',), ("{bad",)], "r string")
@@ -218,21 +227,27 @@ def test_event_rules(spark, change, broken):
 
 
 def test_edges_artifacts_scenes(spark):
-    events = spark.createDataFrame([("a", 1, 1, "t1", "said this"), ("b", 1, 2, "t2", "then"), ("c", 1, 3, "t2", "more")], "id string, day int, event_index int, ts string, text string")
-    kind = "edge string, source string, target string, evidence string, kind string, strength string, explanation string, quote string"
+    events = spark.createDataFrame(
+        [("a", 1, 1, "t1", "said this", "valid"), ("b", 1, 2, "t2", "then", "valid"), ("c", 1, 3, "t2", "more", "valid")],
+        "id string, day int, event_index int, ts string, text string, time_quality string",
+    )
+    kind = "edge string, source string, target string, evidence array<string>, type string, basis string, strength string, explanation string, quote string, elapsed int"
+    basis, said = "direct-logged-event", ["a"]
     rows = [
-        ("ok", "a", "b", "a", "cites", "explicit-attribution", "", "said"),
-        ("back", "b", "a", None, "cites", "unresolved", "", ""),
-        ("gone", "a", "x", None, "cites", "unresolved", "", ""),
-        ("future", "a", "b", "c", "cites", "unresolved", "", ""),
-        ("cand", "a", "b", None, "candidate-copy", "explicit-attribution", "", ""),
-        ("quote", "a", "b", "a", "cites", "candidate", "", "never"),
-        ("tied", "b", "c", None, "cites", "unresolved", "5 minutes later", ""),
+        ("ok", "a", "b", said, "mentions", basis, "explicit-attribution", "why", "said", None),
+        ("back", "b", "a", said, "mentions", basis, "unresolved", "", "said", None),
+        ("gone", "a", "x", None, "mentions", basis, "unresolved", "", "", None),
+        ("future", "a", "b", ["c"], "mentions", basis, "unresolved", "", "more", None),
+        ("cand", "a", "b", said, "candidate_informed_by", basis, "explicit-attribution", "why", "said", None),
+        ("quote", "a", "b", said, "mentions", basis, "candidate", "", "never", None),
+        ("tied", "b", "c", said, "mentions", basis, "unresolved", "5 minutes later", "said", None),
+        ("timed", "b", "c", said, "mentions", basis, "unresolved", "", "said", 30),
+        ("uncited", "a", "b", None, "mentions", basis, "unresolved", "", "said", 0),
     ]
     found = {r["edge"]: r["rule"] for r in rules.edge_violations(spark.createDataFrame(rows, kind), events).collect()}
     assert found == {
         "back": "backward", "gone": "unknown endpoint", "future": "evidence from the future", "cand": "candidate marked explicit",
-        "quote": "quote not in evidence", "tied": "duration without times",
+        "quote": "quote not in evidence", "tied": "duration without times", "timed": "duration without times", "uncited": "unknown evidence",
     }
     artifacts = spark.createDataFrame([("p", ["a"], "made", "/tmp/x", ""), ("q", ["z"], "verified read", "/tmp/x", "n")], "artifact string, events array<string>, description string, path string, namespace string")
     assert sorted(map(tuple, rules.artifact_violations(artifacts, events).collect())) == [
@@ -274,3 +289,118 @@ def test_reachable_tells_that_its_bound_was_met(spark):
     assert graph.reachable(roots, chain).count() == 7
     with pytest.raises(RuntimeError):
         graph.reachable(roots, chain, most_rounds=3)
+
+
+def test_ranges_without_one_task_for_all(spark):
+    rows = spark.createDataFrame([(None if i % 11 == 0 else i * 37 % 100, i) for i in range(500)], "k int, v long")
+    got = export.numbered(rows, ["k", "v"], parts=7).orderBy("position").collect()
+    assert [r["position"] for r in got] == list(range(500))
+    assert [(r["k"], r["v"]) for r in got] == sorted(((r["k"], r["v"]) for r in got), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    sums = export.running_before(rows.groupBy("k").agg(F.sum("v").alias("v")).where("k is not null"), "k", "v", parts=7).orderBy("k").collect()
+    total = 0
+    for r in sums:
+        assert r["before"] == total
+        total += r["v"]
+
+
+def test_matched_pairs_as_by_all_pairs(spark):
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    pool = [(i, rng.choice([3, 5, 5, 8, 20, 21, 90])) for i in range(60)]
+    targets = [(1000 + i, n) for i, n in enumerate([1, 7, 10, 10, 41, 60, 500])]
+    got = {r["target"]: (r["gap"], r["first"], r["second"]) for r in messages.matched_pair(
+        spark.createDataFrame(pool, "ident long, tokens long"), spark.createDataFrame(targets, "target long, tokens long"), nearest=6
+    ).collect()}
+    for t, wanted in targets:
+        near = sorted(pool, key=lambda r: (abs(r[1] - wanted / 2), r[0]))[:6]
+        pairs = [(abs(a[1] + b[1] - wanted), *sorted((a[0], b[0]))) for a, b in itertools.combinations(near, 2)]
+        assert got[t] == min(pairs)
+
+
+def test_earlier_samples_are_the_least_of_all_days_before(spark):
+    import hashlib
+
+    rows = [(d, i) for d in (0, 1, 2, 5, 9, 10, 17, 40) for i in range(7)]
+    days = [-3, 0, 1, 2, 3, 9, 10, 18, 40, 41, 900]
+    got = messages.earlier_samples(spark.createDataFrame(rows, "day long, event_index long"), spark.createDataFrame([(d,) for d in days], "for_day long"), 5, "s").collect()
+    code = lambda r: hashlib.sha256(f"s:{r[0]}:{r[1]}".encode()).hexdigest()
+    for d in days:
+        want = sorted((r for r in rows if r[0] < d), key=code)[:5]
+        assert sorted((r["day"], r["event_index"]) for r in got if r["for_day"] == d) == sorted(want)
+
+
+def test_components_of_a_long_path(spark):
+    nodes = spark.createDataFrame([(1, f"n{i:03d}") for i in range(120)] + [(2, "x")], "day int, node string")
+    edges = spark.createDataFrame([(1, f"n{i:03d}", f"n{i + 1:03d}") for i in range(0, 119) if i != 60], "day int, src string, dst string")
+    assert sorted(map(tuple, graph.components(nodes, edges).collect())) == [(1, 2, 61), (2, 1, 1)]
+    with pytest.raises(ValueError, match="more than 2"):
+        graph.names_of(spark.createDataFrame([("a",), ("b",), ("c",)], "name string"), 2)
+
+
+def test_event_search_reads_strings_as_they_are(spark):
+    rows = [(1, 0, "a", 7, json.dumps({"text": 'say "Hi" \u00e9t\u00e9', "n": 5})), (1, 1, "b", 7, '{"text": "other"}'), (2, 0, "a", 8, "not json \u00e9t\u00e9")]
+    df = spark.createDataFrame(rows, "date int, event_index int, type string, actor int, raw string")
+    found = lambda **w: [(r["date"], r["event_index"]) for r in index.event_search(df, raw=F.col("raw"), **w)[0].collect()]
+    assert found(needle='say "hi"') == [(1, 0)] and found(needle=" \u00c9T\u00c9 ") == [(1, 0), (2, 0)]
+    assert found(needle="say \\") == [(1, 0)] and found(day=1, event_index=1) == [(1, 1)] and found(actor=8) == [(2, 0)]
+    assert index.event_search(df, kind="a")[1].first()[0] == 2
+    with pytest.raises(ValueError, match="snapshot"):
+        index.event_search(df, snapshot=("a", "b"))
+
+
+def test_transfer(spark, tmp_path):
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    texts = [f"text {i}" for i in range(70)]
+    rows = [(1 + i // 40, i, t, sha(t)) for i, t in enumerate(texts)] + [(3, 0, texts[0], sha(texts[0]))]
+    index_rows = spark.createDataFrame(rows, "day long, event_index long, text string, text_hash string")
+    done = spark.createDataFrame([("r", sha(texts[5]))], "run_id string, text_hash string")
+    shards = transfer.pending_shards(index_rows, done, "r", 32)
+    assert sorted(r["count"] for r in shards.groupBy("shard").count().collect()) == [5, 32, 32]
+    assert [r["text"] for r in shards.where("shard = 'pending-00000'").orderBy("position").limit(3).collect()] == texts[:3]
+    assert {r["pilot"]: r["count"] for r in transfer.pilots(index_rows).groupBy("pilot").count().collect()} == {"pilot-48": 48, "pilot-68": 68}
+    assert {r["pilot"] for r in transfer.pilots(index_rows, 48, 30).collect()} == {"pilot-48"}
+    with pytest.raises(Exception, match="needs 90"):
+        transfer.pilots(index_rows, 90).collect()
+    with pytest.raises(Exception, match="hash mismatch"):
+        transfer.pending_shards(index_rows.withColumn("text", F.lit("x")), done, "r").collect()
+
+    path = tmp_path / "shard.jsonl.gz"
+    with gzip.open(path, "wt") as file:
+        file.write("".join(json.dumps({"text_hash": sha(t), "text": t}) + "\n" for t in texts[:4]))
+    digest = hashlib.sha256(path.read_bytes()).hexdigest()
+    shard = transfer.strict_shard(spark, str(path), 4, digest)
+    assert shard.count() == 4
+    for count, of, message in ((5, digest, "4 rows"), (4, "0" * 64, "not the file")):
+        with pytest.raises(ValueError, match=message):
+            transfer.strict_shard(spark, str(path), count, of)
+    results = scoring.score_texts(shard).select("text_hash", "scores")
+    assert transfer.imported(results, shard, index_rows, done, "r").count() == 4
+    with pytest.raises(ValueError, match="no result"):
+        transfer.imported(results.limit(3), shard, index_rows, done, "r")
+    known = spark.createDataFrame([("r", sha(texts[1]))], "run_id string, text_hash string")
+    with pytest.raises(ValueError, match="scored already"):
+        transfer.imported(results, shard, index_rows, known, "r")
+    assert transfer.imported(results, shard, index_rows, known, "r", preserve=True).count() == 3
+
+
+def test_engines_and_deadlines(spark):
+    texts = spark.createDataFrame([(f"h{i}", f"some words {i} and more {i * i}") for i in range(300)], "text_hash string, text string")
+    for model, one_choice in scoring.ENGINES.values():
+        row = scoring.score_texts(texts.limit(20), model).select(scores.valid(F.col("scores")).alias("v"), scores.forced_choice(F.col("scores")).alias("c")).distinct().collect()
+        assert [r["v"] for r in row] == [True] and (not one_choice or [r["c"] for r in row] == [True])
+    late = scoring.score_within(texts, 0.0)
+    assert late.count() == 300 and late.where("scores is not null").count() == 0
+    assert scoring.score_within(texts, 600).where("scores is null").count() == 0
+
+
+def test_reports(spark):
+    seen = iter([{"run_id": "a", "state": "running"}, {"run_id": "a", "state": "complete"}])
+    assert reports.watch(lambda: next(seen), sleep=lambda _: None) == {"run_id": "a", "state": "complete"}
+    other = iter([{"run_id": "a", "state": "running", "n": 1}, {"run_id": "b", "state": "running", "n": 2}])
+    assert reports.watch(lambda: next(other), sleep=lambda _: None) == {"run_id": "a", "state": "run_replaced", "n": 1, "replaced_by": "b"}
+    rows = spark.range(5)
+    assert json.loads(reports.document({"a": rows, "b": rows.limit(0)}).first()[0]) == {"a": [{"id": i} for i in range(5)], "b": []}
+    with pytest.raises(Exception, match="more than 4 rows"):
+        reports.document({"a": rows}, most=4).collect()
