@@ -12,22 +12,24 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONG_MIN, checkpoint, literal_array, prepare
-from .ordered import range_number, splits_of
+from .common import LONG_MIN, checkpoint, prepare
+from .ordered import dealing_keys, joined, range_number, splits_of
 
 PERMUTATIONS = 128
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 1 << 20
 MAX_RANGES = 16384
 
 _rng = np.random.default_rng(9)
 _BYTE = _rng.integers(0, 1 << 64, 256, dtype=np.uint64)
 _STEP = int(_rng.integers(0, 1 << 64, dtype=np.uint64)) | 5
-_A = _rng.integers(0, 1 << 64, (PERMUTATIONS, 1), dtype=np.uint64) | np.uint64(1)
-_B = _rng.integers(0, 1 << 64, (PERMUTATIONS, 1), dtype=np.uint64)
+_A = _rng.integers(0, 1 << 32, (PERMUTATIONS, 1), dtype=np.uint32) | np.uint32(1)
+_B = _rng.integers(0, 1 << 32, (PERMUTATIONS, 1), dtype=np.uint32)
+_LAST = np.uint32(0x9E3779B1)
 _weights = np.ones(1, np.uint64)
 
 
@@ -51,48 +53,59 @@ class Parse:
 
     __slots__ = ("ends", "node", "tree")
 
-    def __init__(self, tree: dict[int, int] | None = None, node: int = 0, ends: list[int] | None = None) -> None:
-        self.tree, self.node, self.ends = {} if tree is None else tree, node, [] if ends is None else ends
+    def __init__(self, tree: dict[int, int] | None = None, node: int = 0) -> None:
+        self.tree, self.node, self.ends = {} if tree is None else tree, node, []
 
     def copy(self) -> Parse:
-        return Parse(self.tree.copy(), self.node, self.ends.copy())
+        """The parse so far, without its ends, to go on another way."""
+        return Parse(self.tree.copy(), self.node)
 
     def feed(self, data: bytes, at: int) -> Parse:
         """Go on with ``data``, whose first byte is number ``at`` of the text."""
-        tree, node, ends = self.tree, self.node, self.ends
-        get, count = tree.get, len(tree)
+        node, add, end = self.node, self.tree.setdefault, self.ends.append
+        new = len(self.tree) + 1 << 8
         for at, byte in enumerate(data, at + 1):
-            key = node | byte
-            node = get(key)
-            if node is None:
-                count += 1
-                tree[key] = count << 8
-                ends.append(at)
+            node = add(node | byte, new)
+            if node == new:
+                new += 256
+                end(at)
                 node = 0
         self.node = node
         return self
 
 
-def phrase_hashes(data: bytes, ends: list[int]) -> np.ndarray:
-    """Hashes of the phrases that end there, and of a rest at the end of the text."""
-    if not data:
+def phrase_hashes(data: bytes, ends: list[int], start: int = 0, whole: bool = True) -> np.ndarray:
+    """Hashes of the phrases from ``start`` on that end there, and, of a whole text, of a rest at its end."""
+    if whole and len(data) > (ends[-1] if ends else start):
+        ends = [*ends, len(data)]
+    if not ends:
         return np.zeros(0, np.uint64)
-    stops = np.array(ends if ends and ends[-1] == len(data) else [*ends, len(data)], np.int64)
+    stops = np.array(ends, np.int64) - start
     starts = np.concatenate([[0], stops[:-1]])
     sizes = stops - starts
-    place = np.arange(len(data)) - np.repeat(starts, sizes)
-    sums = np.add.reduceat(_BYTE[np.frombuffer(data, np.uint8)] * powers(int(sizes.max()))[place], starts)
+    place = np.arange(int(stops[-1])) - np.repeat(starts, sizes)
+    codes = np.frombuffer(data, np.uint8)[start : ends[-1]]
+    sums = np.add.reduceat(_BYTE[codes] * powers(int(sizes.max()))[place], starts)
     return mix(sums + sizes.astype(np.uint64))
 
 
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least value of the hashes' upper halves under each permutation."""
+    least = np.full(PERMUTATIONS, np.iinfo(np.uint32).max, np.uint32)
+    upper = (hashes >> np.uint64(32)).astype(np.uint32)
+    for low in range(0, len(upper), 4096):
+        np.minimum(least, (upper[None, low : low + 4096] * _A + _B).min(axis=1), out=least)
+    return least
+
+
+def signed(least: np.ndarray) -> bytes:
+    """A byte of each least value."""
+    return ((least ^ least >> np.uint32(16)) * _LAST >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
 def signature(hashes: np.ndarray) -> bytes:
-    """A byte of the least value under each permutation; nothing for no phrases."""
-    if not len(hashes):
-        return b""
-    least = np.full(PERMUTATIONS, np.iinfo(np.uint64).max)
-    for low in range(0, len(hashes), 2048):
-        np.minimum(least, (hashes[None, low : low + 2048] * _A + _B).min(axis=1), out=least)
-    return (mix(least) >> np.uint64(56)).astype(np.uint8).tobytes()
+    """The fingerprint of a set of phrases; nothing for none."""
+    return signed(minima(hashes)) if len(hashes) else b""
 
 
 def likeness(a: bytes, b: bytes) -> float:
@@ -106,23 +119,29 @@ def likeness(a: bytes, b: bytes) -> float:
 class Fingerprint:
     """A text's fingerprint, and its parse up to where the edited text departs from it."""
 
-    __slots__ = ("chars", "head", "ident", "parse", "sign", "take")
+    __slots__ = ("chars", "head", "ident", "least", "open", "parse", "sign", "take")
 
     def __init__(self, ident: object, text: str) -> None:
         self.ident, self.chars, self.take = ident, len(text), len(text) // 2
         self.head = text[: self.chars - self.take].encode()
         self.parse = Parse().feed(self.head, 0)
-        rest = text[self.chars - self.take :].encode()
-        parse = self.parse.copy().feed(rest, len(self.head))
-        self.sign = signature(phrase_hashes(self.head + rest, parse.ends))
+        self.least = minima(phrase_hashes(self.head, self.parse.ends, whole=False))
+        self.open = self.parse.ends[-1] if self.parse.ends else 0
+        self.sign = self.then(self.parse.copy(), text[self.chars - self.take :].encode())
+
+    def then(self, parse: Parse, rest: bytes) -> bytes:
+        """The fingerprint of the head and a rest, given the parse of the head."""
+        data, before = self.head + rest, len(self.head)
+        parse.ends = []
+        hashes = phrase_hashes(data, parse.feed(rest, before).ends, self.open)
+        return signed(np.minimum(self.least, minima(hashes))) if data else b""
 
     def against(self, text: str, sign: bytes) -> tuple:
         """The row of this text, given the next one."""
         rest = text[: self.take].encode()
-        edited = self.head + rest
-        other = signature(phrase_hashes(edited, self.parse.feed(rest, len(self.head)).ends))
+        other = self.then(self.parse, rest)
         return (
-            self.ident, self.chars, hashlib.sha256(edited).hexdigest(), self.sign.hex(), other.hex(),
+            self.ident, self.chars, hashlib.sha256(self.head + rest).hexdigest(), self.sign.hex(), other.hex(),
             likeness(self.sign, other), likeness(self.sign, sign),
         )
 
@@ -152,34 +171,49 @@ def fingerprint(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", r
     Returns ``ident``, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
     near_next. The edited text has its last half of code points replaced by as many of the next
     document's first, in ascending order of id, after the last the first. A null id is the least,
-    rows of equal id are in the order of their texts, a null text is empty; an empty text's
-    fingerprint is the empty string, like only to itself. A single row is its own next document.
+    rows of equal id are in the order of a hash of their texts, a null text is empty; an empty
+    text's fingerprint is the empty string, like only to itself. A single row is its own next
+    document; repeated rows stay rows, next to each other. Other columns are not read.
 
-    Rows are dealt by ranges of ids; each range also gets the first document of the range after
-    it, so a text is shuffled once.
+    Rows are dealt by ranges of (id, hash) of about ``range_bytes``; each range also gets the first
+    document of the range after it. Only rows equal in id and text cannot be parted; they pass one
+    by one through their task.
     """
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(
         F.coalesce(F.col(ident).cast("long"), F.lit(LONG_MIN)).alias("_id"),
+        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_h"),
         F.col(ident).alias("_ident"),
         F.coalesce(F.col(text), F.lit("")).alias("_text"),
     )
-    light = checkpoint(rows.select("_id", F.octet_length("_text").alias("_size")))
+    light = checkpoint(rows.select("_id", "_h", (F.octet_length("_text") + 16).cast("long").alias("_size")))
     total = light.agg(F.sum("_size")).first()[0] or 0
-    splits = splits_of(light, "_id", int(min(MAX_RANGES, 1 + total // range_bytes)))
-    firsts = {r["r"]: r["f"] for r in light.groupBy(range_number("_id", splits).alias("r")).agg(F.min("_id").alias("f")).collect()}
-    full = sorted(firsts)
-    before = {r: full[i - 1] for i, r in enumerate(full)}
-    count = len(splits) + 1
-    first = F.get(literal_array([firsts.get(r) for r in range(count)], "long"), F.col("_range"))
-    previous = F.get(literal_array([before.get(r) for r in range(count)], "int"), F.col("_range"))
-    dealt = rows.withColumn("_range", range_number("_id", splits).cast("int"))
-    own = F.struct(F.col("_range").alias("r"), F.lit(False).alias("borrowed"))
-    lent = F.when(F.col("_id") == first, F.struct(previous.alias("r"), F.lit(True).alias("borrowed")))
-    dealt = dealt.withColumn("_to", F.explode(F.array_compact(F.array(own, lent))))
-    dealt = dealt.select("_to.r", "_to.borrowed", "_id", "_ident", "_text").repartition("r")
-    ordered = dealt.sortWithinPartitions("r", "borrowed", "_id", "_text").select("r", "borrowed", "_ident", "_text")
+    splits = splits_of(light, "_id", "_h", int(min(MAX_RANGES, 1 + 4 * total // range_bytes)))
+    per_range = light.groupBy(range_number(splits)("_id", "_h").alias("r")).agg(F.sum("_size").alias("b"))
+    splits = joined(splits, {r["r"]: r["b"] for r in per_range.collect()}, max(range_bytes, total // MAX_RANGES))
+    number = range_number(splits)
+    firsts = light.groupBy(number("_id", "_h").alias("r")).agg(F.min(F.struct("_id", "_h")).alias("f"))
+    firsts = sorted((r["r"], tuple(r["f"])) for r in firsts.collect())
+    keys = dealing_keys(spark, max(1, len(firsts)))
+    key_of = {r: keys[i] for i, (r, _) in enumerate(firsts)}
+    lends = {f: key_of[firsts[i - 1][0]] for i, (_, f) in enumerate(firsts)}
+
+    @F.pandas_udf("int")
+    def own_key(r: pd.Series) -> pd.Series:
+        return r.map(key_of).astype("int32")
+
+    @F.pandas_udf("int")
+    def lent_key(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([lends.get(x) for x in zip(a.tolist(), b.tolist())], dtype="Int32")
+
+    own = rows.select(own_key(number("_id", "_h")).alias("r"), F.lit(False).alias("borrowed"), "_id", "_h", "_ident", "_text")
+    lent = rows.select(lent_key("_id", "_h").alias("r"), "_id", "_h", "_text").where(F.col("r").isNotNull())
+    lent = lent.groupBy("r").agg(F.min(F.struct("_id", "_h", "_text")).alias("x"))
+    none = F.lit(None).cast(rows.schema["_ident"].dataType)
+    lent = lent.select("r", F.lit(True).alias("borrowed"), "x._id", "x._h", none.alias("_ident"), "x._text")
+    dealt = own.unionByName(lent).repartition(len(keys), "r")
+    ordered = dealt.sortWithinPartitions("r", "borrowed", "_id", "_h", "_text").select("r", "borrowed", "_ident", "_text")
     kind = docs.schema[ident].dataType.simpleString()
     out = f"{ident} {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     from pyspark.sql.pandas.types import to_arrow_schema
