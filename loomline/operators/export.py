@@ -156,11 +156,34 @@ def prune(value: object, key: str = "") -> object:
     return value[:LONG_STRING] if isinstance(value, str) else value
 
 
+# The fields of a prediction's JSON that an export may hold.
+PREDICTION_FIELDS = (
+    "primary_candidate", "primary_act", "score_semantics", "scores",
+    "candidate_templates", "template", "template_status", "slot_values",
+    "extraction_performed", "context_used", "multi_act_status",
+    "review_reasons", "truncation",
+)
+
+
 def prediction_fields(result: Column) -> Column:
-    """The allowed fields of a prediction's JSON; {parse_error: true} for text that does not parse."""
+    """The allowed fields of a prediction's JSON, each as JSON text or null, its run and epoch, and the runtime's truncation.
+
+    Text that does not parse, and null, give parse_error and no field.
+    """
     parsed = F.try_parse_json(result)
-    field = lambda name, kind: F.try_variant_get(parsed, f"$.{name}", kind).alias(name)
-    return F.struct(
-        field("primary_act", "string"), field("top_score", "double"), field("margin", "double"), field("needs_review", "boolean"),
-        parsed.isNull().alias("parse_error"),
-    )
+    field = lambda name, path=None: F.to_json(F.try_variant_get(parsed, f"$.{path or name}", "variant")).alias(name)
+    kept = [field(n) for n in (*PREDICTION_FIELDS, "run_id", "execution_epoch_id")]
+    return F.struct(*kept, field("runtime_truncation", "runtime.truncation"), parsed.isNull().alias("parse_error"))
+
+
+def run_manifest(messages: DataFrame, predictions: DataFrame, run_id: str, recorded: str = "complete") -> DataFrame:
+    """One row of a run's manifest: records, texts, classified_records, classified_texts, shares, labels as a map, and the state.
+
+    A run that is recorded as complete and has texts left is incomplete.
+    """
+    from .index import coverage, label_counts, run_state
+
+    labels = label_counts(messages, predictions, run_id).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "records")))).alias("labels"))
+    found = coverage(messages, predictions, run_id).crossJoin(labels)  # one row each
+    left = F.col("texts") - F.col("classified_texts")
+    return found.withColumn("state", run_state(F.lit(recorded), left, F.lit(False), F.lit(True)))

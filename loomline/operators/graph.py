@@ -37,6 +37,11 @@ def edge_examples(rows: DataFrame, names: list[str]) -> DataFrame:
     return sums.select("src", "dst", "n", "at.day", "at.event_index")
 
 
+def top_edges(edges: DataFrame, k: int = 100) -> DataFrame:
+    """The heaviest edges (src, dst, n), by weight and names."""
+    return edges.orderBy(F.desc("n"), "src", "dst").limit(k)
+
+
 def active_edges(edges: DataFrame, rows: DataFrame) -> DataFrame:
     """Edges to those who also spoke that day."""
     spoke = rows.select("day", F.col("speaker").alias("dst")).distinct()

@@ -88,6 +88,11 @@ def duplicates(rows: DataFrame, *, least: int = 80, examples: int = 6) -> DataFr
     return found.select("day", normal(F.col("text")).alias("norm"), "n", "agents", "examples")
 
 
+def top_duplicates(groups: DataFrame, k: int = 16) -> DataFrame:
+    """The largest duplicate groups: by size, speakers, day and text."""
+    return groups.orderBy(F.desc("n"), F.desc("agents"), "day", "norm").limit(k)
+
+
 def fingerprint(kind: Column, speaker: Column, content: Column) -> Column:
     """sha256 of kind, speaker ('None' if null) and content, joined by NUL; null for null content."""
     nul = F.lit("\0")
@@ -169,6 +174,12 @@ def stratified_sample(rows: DataFrame, strata: Column, ident: str, sizes: dict[s
     return rows.withColumn("rank", rank).where(F.col("rank") <= size).select("tag", ident)
 
 
+def shuffled_first(rows: DataFrame, ident: str, n: int, passes: Column, seed: str = "732") -> DataFrame:
+    """The first ``n`` rows that pass, in an order shuffled by the sha256 of seed and id."""
+    order = F.sha2(F.concat(F.lit(seed + ":"), F.col(ident).cast("string")), 256)
+    return rows.where(passes).orderBy(order, ident).limit(n)
+
+
 def preceding(rows: DataFrame, n: int = 2) -> DataFrame:
     """Each message with the speakers of up to ``n`` before it in its day, and how many came before."""
     order = Window.partitionBy("day").orderBy("event_index")

@@ -271,6 +271,24 @@ def mismatches(stored: DataFrame, computed: DataFrame, key: str, values: list[st
     return rows.where(F.coalesce(far, ~F.col("stored").eqNullSafe(F.col("computed"))))
 
 
+def cascade_violations(cascades: DataFrame, *, least_actors: int = 3, most_minutes: float = 60.0) -> DataFrame:
+    """(date, key, rule) of stored cascades (date, key, agents, span_minutes, sequence of minutes and actor) that cannot be what they say."""
+    rows = cascades.withColumn("place", F.struct("date", "key"))
+    minutes = F.transform("sequence", lambda x: x["minutes"])
+    actors = F.transform("sequence", lambda x: x["actor"])
+    return violations(
+        rows,
+        "place",
+        {
+            "too few": F.size(F.array_distinct(actors)) < least_actors,
+            "count": F.col("agents") != F.size(F.array_distinct(actors)),
+            "order": minutes != F.array_sort(minutes),
+            "start": F.get(minutes, F.lit(0)) != 0,
+            "span": (F.abs(F.col("span_minutes") - F.array_max(minutes)) > 0.011) | (F.col("span_minutes") > most_minutes),
+        },
+    ).select("place.*", "rule")
+
+
 def example_violations(groups: DataFrame, rows: DataFrame) -> DataFrame:
     """(day, event_index, rule) of the examples of duplicate groups (day, norm, examples) whose text has another normal form, or none."""
     cited = groups.select("day", "norm", F.explode("examples").alias("event_index"))

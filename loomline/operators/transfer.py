@@ -131,6 +131,24 @@ def imported(results: DataFrame, shard: DataFrame, messages: DataFrame, predicti
     return results.join(done, "text_hash", "left_anti").select(F.lit(run_id).alias("run_id"), *results.columns)
 
 
+def manifest_violations(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """(file, rule) of a manifest (file, count, sha256) against the files (file, rows, sha256) that there are; each side is unique by file."""
+    there = files.select("file", F.col("rows").alias("_rows"), F.col("sha256").alias("_sha"), F.lit(True).alias("_there"))
+    rows = manifest.withColumn("_named", F.lit(True)).join(there, "file", "full_outer")
+    named, there = F.col("_named").isNotNull(), F.col("_there").isNotNull()
+    return violations(
+        rows,
+        "file",
+        {
+            "missing": named & ~there,
+            "not in the manifest": there & ~named,
+            "bad digest": named & ~F.coalesce(F.col("sha256").rlike(HASH), F.lit(False)),
+            "another digest": named & there & (F.col("sha256") != F.col("_sha")),
+            "another count": named & there & (F.col("count") != F.col("_rows")),
+        },
+    )
+
+
 def experiment_violations(rows: DataFrame, conditions: list[str] = CONDITIONS) -> DataFrame:
     """(id, rule) of experiment rows (id, base_text_hash, condition, speaker, target, text, text_hash).
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import prepare, scores, times
+from ..functions import contracts, prepare, scores, times
 from ..functions import text as T
 from ..operators import audit, export, graph, index, messages, parity, reports, rules, transfer
 from ..session import scratch
@@ -564,6 +564,35 @@ def dq_duplicate_examples(spark, sf):
     return rules.example_violations(found.select("day", norm.alias("norm"), F.concat("examples", F.array(F.lit(-1).cast("long"))).alias("examples")), rows)
 
 
+plant(
+    "cascade_list",
+    "date string, key string, agents long, span_minutes double, minutes array<double>, actors array<string>",
+    [
+        ("d1", "fine", 3, 40.0, [0.0, 10.5, 40.0], ["a", "b", "c"]), ("d1", "few", 2, 5.0, [0.0, 5.0], ["a", "b"]), ("d2", "twice", 3, 5.0, [0.0, 1.0, 5.0], ["a", "b", "b"]),
+        ("d2", "late", 3, 50.0, [2.0, 1.0, 50.0], ["a", "b", "c"]), ("d3", "long", 3, 61.0, [0.0, 1.0, 61.0], ["a", "b", "c"]), ("d3", "off", 3, 9.0, [0.0, 1.0, 8.0], ["a", "b", "c"]),
+    ],
+)
+
+
+@query(
+    f"WITH {values('cascade_list')} "
+    + _rules_sql(
+        "date, key",
+        "cascade_list",
+        {
+            "too few": "len(list_distinct(actors)) < 3",
+            "count": "agents <> len(list_distinct(actors))",
+            "order": "minutes <> list_sort(minutes)",
+            "start": "minutes[1] <> 0",
+            "span": "abs(span_minutes - list_max(minutes)) > 0.011 OR span_minutes > 60",
+        },
+    )
+)
+def dq_cascades(spark, sf):
+    sequence = F.zip_with("minutes", "actors", lambda m, a: F.struct(m.alias("minutes"), a.alias("actor")))
+    return rules.cascade_violations(local(spark, "cascade_list").withColumn("sequence", sequence))
+
+
 # --- transfer of work -----------------------------------------------------------------------------------
 
 _PRED = """WITH m AS (SELECT doc_id // 50 AS day, doc_id AS event_index, source AS speaker, text, sha256(text) AS text_hash FROM documents),
@@ -629,6 +658,29 @@ def dq_strict_shard(spark, sf):
     return transfer.strict_violations(local(spark, "shard_lines"))
 
 
+plant("manifest_files", "file string, count long, sha256 string", [(f"f{i}", 10 + i, _sha(str(i))) for i in range(6)] + [("f9", 1, "short")])
+plant("real_files", "file string, rows long, sha256 string", [(f"f{i}", 10 + i + (i == 2), _sha(str(i + (i == 3)))) for i in range(1, 6)] + [("x", 1, _sha("x")), ("f9", 1, "short")])
+
+
+@query(
+    f"""WITH {values('manifest_files')}, {values('real_files')}, j AS (SELECT coalesce(m.file, f.file) AS file, m.file IS NOT NULL AS named, f.file IS NOT NULL AS there, m.count, f.rows, m.sha256 AS a, f.sha256 AS b
+    FROM manifest_files m FULL JOIN real_files f ON m.file = f.file) """
+    + _rules_sql(
+        "file",
+        "j",
+        {
+            "missing": "named AND NOT there",
+            "not in the manifest": "there AND NOT named",
+            "bad digest": f"named AND NOT regexp_matches(a, '{transfer.HASH}')",
+            "another digest": "named AND there AND a <> b",
+            "another count": "named AND there AND count <> rows",
+        },
+    )
+)
+def dq_manifest(spark, sf):
+    return transfer.manifest_violations(local(spark, "manifest_files"), local(spark, "real_files"))
+
+
 def _condition(ident: str, base: str, condition: str, text: str, **change: object) -> tuple:
     row = {"id": ident, "base_text_hash": _sha(base), "condition": condition, "speaker": "Ada", "target": base, "text": text, "text_hash": _sha(text)}
     return tuple((row | change).values())
@@ -1027,6 +1079,76 @@ def export_rows(spark, sf):
     return row.select("source_locator.*", "source_snapshot_sha256", "speaker_label", "text_hash_sha256", "prediction.label", F.col("prediction.needs_review").cast("int").alias("needs_review"))
 
 
+@query(
+    _PRED
+    + """, t AS (SELECT text_hash, count(*) AS n FROM m GROUP BY 1), j AS (SELECT t.*, p.label FROM t LEFT JOIN p USING (text_hash)),
+    l AS (SELECT string_agg(label || '=' || n, ',' ORDER BY label) AS labels FROM (SELECT label, sum(n)::BIGINT AS n FROM j WHERE label IS NOT NULL GROUP BY label))
+    SELECT sum(n)::BIGINT AS records, count(*) AS texts, coalesce(sum(n) FILTER (label IS NOT NULL), 0)::BIGINT AS classified_records, count(label) AS classified_texts,
+    round(sum(n) FILTER (label IS NOT NULL) / sum(n), 6) AS record_share, round(count(label) / count(*), 6) AS text_share, any_value(labels) AS labels,
+    CASE WHEN count(*) > count(label) THEN 'incomplete' ELSE 'complete' END AS state FROM j, l"""
+)
+def run_manifest(spark, sf):
+    found = export.run_manifest(document_messages(spark, sf), document_predictions(spark, sf), RUN)
+    shown = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return found.withColumn("labels", F.array_join(shown, ","))
+
+
+plant("answers_json", "i long, result string", [(0, '{"primary_act": "q", "scores": {"a": 0.5}, "secret": 1, "runtime": {"truncation": {"message": true}, "host": "h"}, "run_id": "r"}'), (1, "{bad"), (2, None), (3, "{}")])
+
+
+@query(
+    f"""WITH {values('answers_json')}, v AS (SELECT i, CASE WHEN json_valid(result) THEN result END AS r FROM answers_json)
+    SELECT i, json_extract(r, '$.primary_act')::VARCHAR AS primary_act, json_extract(r, '$.scores')::VARCHAR AS scores, json_extract(r, '$.template')::VARCHAR AS template, json_extract(r, '$.run_id')::VARCHAR AS run_id,
+    json_extract(r, '$.runtime.truncation')::VARCHAR AS runtime_truncation, r IS NULL AS parse_error FROM v"""
+)
+def prediction_projection(spark, sf):
+    row = local(spark, "answers_json").select("i", export.prediction_fields(F.col("result")).alias("p"))
+    return row.select("i", *[f"p.{c}" for c in ("primary_act", "scores", "template", "run_id", "runtime_truncation", "parse_error")])
+
+
+plant("classified", "i long, message string, answer string", [
+    (0, "please check it", '{"primary_act": "q", "evidence_spans": ["check it", "never"], "abstain": false}'), (1, "so", "[]"), (2, "so", '{"abstain": true}'), (3, None, '{"evidence_spans": ["x"]}'),
+])
+
+
+@query(
+    f"""WITH {values('classified')}, v AS (SELECT i, message, answer FROM classified WHERE json_type(answer) = 'OBJECT'),
+    s AS (SELECT i, unnest(json_extract(answer, '$.evidence_spans')::VARCHAR[]) AS span FROM v)
+    SELECT i, json_extract_string(answer, '$.primary_act') AS primary_act, json_extract(answer, '$.abstain')::BOOLEAN AS abstain,
+    coalesce((SELECT string_agg(span, '|') FROM s WHERE s.i = v.i AND NOT coalesce(contains(v.message, span), false)), '') AS unsupported FROM v"""
+)
+def contract_answers(spark, sf):
+    row = local(spark, "classified").withColumn("a", contracts.parsed(F.col("answer"), "classify")).where(F.col("a").isNotNull())
+    return row.select("i", "a.primary_act", "a.abstain", F.coalesce(F.array_join(contracts.unsupported(F.col("a"), F.col("message")), "|"), F.lit("")).alias("unsupported"))
+
+
+@query(
+    f"""WITH {values('raw_events')}, e AS (SELECT n, json_extract_string(raw, '$.type') AS t, coalesce(nullif(json_extract_string(raw, '$.content'), ''), nullif(json_extract_string(raw, '$.message'), ''), '') AS c FROM raw_events)
+    SELECT 'ev-' || left(sha256('s'), 12) || '-d1-e' || n AS id, t AS source_type, sha256(c) AS text_hash FROM e WHERE t IN ('AGENT_TALK', 'USER_TALK')"""
+)
+def talk_index(spark, sf):
+    raw = _raw(spark).select(F.lit(1).alias("day"), F.lit("2026-01-01").alias("date"), F.col("n").alias("event_index"), "raw")
+    return transcript.message_index(transcript.timeline(raw), _sha("s")).select("id", "source_type", "text_hash")
+
+
+@query(
+    r"""WITH d AS (SELECT doc_id // 50 AS day, source, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS norm FROM documents)
+    SELECT day, md5(norm) AS body, count(*) AS n, count(DISTINCT source) AS agents FROM d WHERE length(norm) >= 80 GROUP BY day, norm HAVING count(*) > 1 ORDER BY n DESC, agents DESC, day, norm LIMIT 16"""
+)
+def top_duplicates(spark, sf):
+    return messages.top_duplicates(messages.duplicates(document_messages(spark, sf))).select("day", F.md5("norm").alias("body"), "n", "agents")
+
+
+@query(_MENTIONS + "SELECT src, dst, count(*) AS n FROM x GROUP BY ALL ORDER BY n DESC, src, dst LIMIT 5")
+def top_edges(spark, sf):
+    return graph.top_edges(graph.edge_examples(*_talks(spark)).select("src", "dst", "n"), 5)
+
+
+@query("SELECT doc_id FROM documents WHERE n_chars > 500 ORDER BY sha256('732:' || doc_id), doc_id LIMIT 128")
+def shuffled_first(spark, sf):
+    return messages.shuffled_first(table(spark, sf, "documents"), "doc_id", 128, F.col("n_chars") > 500).select("doc_id")
+
+
 plant("sections", "name string, days array<string>, total long", [("coverage", ["1", "2", "3"], 3), ("identity", [], 0), ("none", None, 1)])
 
 

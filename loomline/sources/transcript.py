@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import first_filled
+from ..functions.text import first_filled, locator
 from ..functions.times import instant, quality
 
 DOCUMENT = "days array<struct<day:int,date:string,events:array<variant>>>"
+# The event types that are chat.
+TALKS = ("AGENT_TALK", "USER_TALK")
 MAX_LINE = 8 << 20
 MAX_TOTAL = 128 << 20
 
@@ -67,6 +69,15 @@ def timeline(raw: DataFrame) -> DataFrame:
     )
 
 
+def message_index(rows: DataFrame, source_sha: str, talks: tuple[str, ...] = TALKS) -> DataFrame:
+    """(id, day, event_index, date, ts_raw, speaker, source_type, text, text_hash) of the talks of a ``timeline``."""
+    text = F.coalesce("text", F.lit(""))
+    return rows.where(F.col("type").isin(*talks)).select(
+        locator(F.lit(source_sha), F.col("day"), F.col("event_index")).alias("id"), "day", "event_index", "date", "ts_raw",
+        F.col("actor").alias("speaker"), F.col("type").alias("source_type"), text.alias("text"), F.sha2(text, 256).alias("text_hash"),
+    )
+
+
 def day_index(rows: DataFrame) -> DataFrame:
     """(day, date, n, types) of each day record."""
     return rows.groupBy("day", "date").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("type")).alias("types"))

@@ -189,9 +189,10 @@ def test_small_sinks(spark):
         export.upsert(old, twice.drop("at"), "k").collect()
     pruned = export.prune({"raw": 1, "list": list(range(41)), "s": "x" * 5000, "in": [{"path": 1, "k": 2}]})
     assert pruned == {"list": {"omitted": 41}, "s": "x" * 4000, "in": [{"k": 2}]}
-    rows = spark.createDataFrame([('{"primary_act": "q", "margin": 0.5, "secret": 1}',), ("{bad",)], "r string")
+    rows = spark.createDataFrame([('{"primary_act": "q", "scores": {"a": 0.5}, "secret": 1}',), ("{bad",)], "r string")
     got = [r["p"].asDict() for r in rows.select(export.prediction_fields(F.col("r")).alias("p")).collect()]
-    assert (got[0]["primary_act"], got[0]["parse_error"], got[1]["parse_error"]) == ("q", False, True)
+    assert (got[0]["primary_act"], got[0]["parse_error"], got[1]["parse_error"]) == ('"q"', False, True)
+    assert "secret" not in got[0] and json.loads(got[0]["scores"]) == {"a": 0.5}
 
 
 EVENT = "id string, day int, event_index int, source_order int, track string, stance string, basis string, outcome string, is_endorsement boolean, quote string, text string, time_quality string, ts string"
