@@ -95,8 +95,8 @@ def key_filter(keys: DataFrame, column: str) -> Callable[[Column], Column]:
     words = keys.select(F.shiftright(at, 6).alias("w"), at.bitwiseAND(F.lit(63)).cast("int").alias("b"))
     words = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("v"))
     bits = np.zeros(size // 64, np.int64)
-    for r in words.toLocalIterator():
-        bits[r["w"]] = r["v"]
+    found = words.toArrow()  # at most 2^21 pairs of numbers
+    bits[found["w"].to_numpy()] = found["v"].to_numpy()
     shared = spark.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")

@@ -1,8 +1,8 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
-Fingerprints that differ in at most ``radius`` of 64 bits agree on at least two of ``radius + 2``
-blocks of bits, so each is filed once under every pair of blocks. Within a file, distances are
-found on vertical bit planes: 64 pairs to a machine word, summed by carry-save adders eight
+Fingerprints that differ in at most ``radius`` of 64 bits agree on at least k of ``radius + k``
+blocks of bits, so each is filed once under every k of the blocks, two or more for larger tables.
+Within a file, distances are found on vertical bit planes: 64 pairs to a machine word, summed by carry-save adders eight
 planes at a time, and words whose pairs all exceed the radius are abandoned. Only distinct
 fingerprints are compared, and what leaves a task is a spanning forest of the links it found.
 """
@@ -18,14 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, key_filter, prepare
+from .common import checkpoint, prepare
 from .components import components
 
 BITS = 64
 SEED = 42
 RADIUS = 4
 #: Fingerprints of one file that are compared in one task; a larger file is compared by pairs of such parts.
-FILE_ROWS = 4096
+FILE_ROWS = 2048
 CHUNK_ROWS = 1 << 16
 
 
@@ -86,20 +86,23 @@ def exceeds(counter: list[np.ndarray], radius: int) -> np.ndarray:
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:
-    """(64, words) bit planes of uint64 values: bit r of word w in plane p is bit p of value 64 w + r."""
-    bits = np.unpackbits(values.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """(bits, words) bit planes of rows of uint64 values: bit r of word w in plane p is bit p of row 64 w + r."""
+    raw = values.astype("<u8").reshape(len(values), -1)
+    bits = np.unpackbits(raw.view(np.uint8), axis=1, bitorder="little")
     room = -len(values) % 64 + 64
-    bits = np.vstack([bits, np.zeros((room, BITS), np.uint8)])
+    bits = np.vstack([bits, np.zeros((room, bits.shape[1]), np.uint8)])
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
-def near_pairs(groups: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of values within ``radius`` bits, among rows of equal group; rows are sorted by group.
+def near_steps(groups: np.ndarray, values: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of values within ``radius`` bits, among rows of equal group, a step at a time; rows are sorted by group.
 
-    Step s compares every row with the one s places on, all lanes at once.
+    Step s compares every row with the one s places on, all lanes at once. Eight planes at a time
+    are added by carry-save adders to digits that count to ``radius``; what goes beyond stays set.
     """
     _, sizes = np.unique(groups, return_counts=True)
-    planes, left, right = planes_of(values), [], []
+    planes = planes_of(values)
+    high = max(0, radius.bit_length() - 3)
     for step in range(1, int(sizes.max(initial=1))):
         same = np.zeros(planes.shape[1] * 64, np.uint8)
         same[: len(groups) - step] = groups[step:] == groups[:-step]
@@ -107,8 +110,8 @@ def near_pairs(groups: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.
         at = np.flatnonzero(live)
         live = live[at]
         word, shift = divmod(step, 64)
-        counter = [np.zeros(len(at), np.uint64) for _ in range(4)]
-        for low in range(0, BITS, 8):
+        counter = [np.zeros(len(at), np.uint64) for _ in range(4 + high)]
+        for low in range(0, len(planes), 8):
             if not len(at):
                 break
             own = planes[low : low + 8][:, at]
@@ -118,26 +121,35 @@ def near_pairs(groups: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.
                 there = np.minimum(here + 1, planes.shape[1] - 1)
                 other |= planes[low : low + 8][:, there] << np.uint64(64 - shift)
             x = own ^ other
-            ones, twos, fours, over = counter
+            ones, twos, fours, *more = counter
             t1, ones = add(ones, x[0], x[1])
             t2, ones = add(ones, x[2], x[3])
             f1, twos = add(twos, t1, t2)
             t1, ones = add(ones, x[4], x[5])
             t2, ones = add(ones, x[6], x[7])
             f2, twos = add(twos, t1, t2)
-            eight, fours = add(fours, f1, f2)
-            live = live & ~exceeds([ones, twos, fours, over | eight], radius)
+            carry, fours = add(fours, f1, f2)
+            for d in range(high):
+                carry, more[d] = more[d] & carry, more[d] ^ carry
+            more[high] = more[high] | carry
+            counter = [ones, twos, fours, *more]
+            live = live & ~exceeds(counter, radius)
             keep = np.flatnonzero(live)
-            at, live = at[keep], live[keep]
-            counter = [ones[keep], twos[keep], fours[keep], (over | eight)[keep]]
+            if len(keep) < len(at):
+                at, live = at[keep], live[keep]
+                counter = [c[keep] for c in counter]
         if len(at):
             lanes = np.unpackbits(live.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             row, bit = np.nonzero(lanes)
             first = at[row] * 64 + bit
-            left.append(first)
-            right.append(first + step)
+            yield first, first + step
+
+
+def near_pairs(groups: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All index pairs of ``near_steps``."""
+    found = list(near_steps(groups, values, radius))
     empty = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (empty, empty)
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (empty, empty)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,73 +170,78 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([x for x, _ in kept], np.int64), np.array([y for _, y in kept], np.int64)
 
 
-def compare(radius: int, every: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Batches of (group, fp), sorted by group, to links (a, b): a forest of each chunk's near pairs.
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole groups, some ``CHUNK_ROWS`` rows at a time; rows are sorted by their first column."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        if sum(len(c[0]) for c in held) >= CHUNK_ROWS:
+            columns = [np.concatenate(x) for x in zip(*held)]
+            whole = int(np.searchsorted(columns[0], columns[0][-1]))
+            if whole:
+                yield [c[:whole] for c in columns]
+            held = [[c[whole:] for c in columns]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
 
-    With ``every``, to (a, b, tree): all near pairs, and those of the forest once more as ``tree``.
-    """
 
-    def links(groups: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, at, sizes = np.unique(groups, return_inverse=True, return_counts=True)
-        several = sizes[at] > 1
-        groups, values = groups[several], values[several]
-        i, j = near_pairs(groups, values.view(np.uint64), radius) if len(groups) else (np.zeros(0, np.int64),) * 2
-        a, b = forest(values[i], values[j])
-        if not every:
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            return
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.ones(len(a), bool))], ["a", "b", "tree"])
-        for low in range(0, len(i), CHUNK_ROWS):
-            x, y = values[i[low : low + CHUNK_ROWS]], values[j[low : low + CHUNK_ROWS]]
-            columns = [pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.zeros(len(x), bool))]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b", "tree"])
+def several(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """The rows of groups of more than one."""
+    _, at, sizes = np.unique(columns[0], return_inverse=True, return_counts=True)
+    kept = sizes[at] > 1
+    return [c[kept] for c in columns]
+
+
+def compare(radius: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of (group, fp), sorted by group, to links (a, b): a forest of each chunk's near pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        for batch in batches:
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
-            if sum(len(g) for g, _ in held) >= CHUNK_ROWS:
-                groups, values = (np.concatenate(x) for x in zip(*held))
-                whole = int(np.searchsorted(groups, groups[-1]))
-                if whole:
-                    yield from links(groups[:whole], values[:whole])
-                held = [(groups[whole:], values[whole:])]
-        if held:
-            yield from links(*(np.concatenate(x) for x in zip(*held)))
+        for columns in chunks(batches):
+            groups, values = several(columns)
+            i, j = near_pairs(groups, values.view(np.uint64), radius) if len(groups) else (np.zeros(0, np.int64),) * 2
+            a, b = forest(values[i], values[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     return run
 
 
-def filed(distinct: DataFrame, radius: int, file_rows: int = FILE_ROWS) -> DataFrame:
-    """(group, fp): every fingerprint under each pair of its blocks of bits, large files by pairs of parts."""
-    blocks = radius + 2
-    edges = [BITS * i // blocks for i in range(blocks + 1)]
-    piece = [
-        F.shiftrightunsigned(F.col("fp"), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:])
-    ]
-    keys = F.array(*[F.xxhash64(F.lit(n), piece[i], piece[j]) for n, (i, j) in enumerate(combinations(range(blocks), 2))])
-    rows = distinct.select("fp", F.explode(keys).alias("file"))
+def parted(rows: DataFrame, node: str, file_rows: int = FILE_ROWS) -> DataFrame:
+    """Rows with ``group`` for ``file``: large files are compared by pairs of parts, so every two of their rows meet."""
     large = rows.groupBy("file").count().where(F.col("count") > file_rows)
     large = large.select("file", F.ceil(F.col("count") * 2 / file_rows).cast("int").alias("_parts"))
     rows = rows.join(large, "file", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
-    part = F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("_parts")).cast("int")
+    part = F.pmod(F.xxhash64(F.lit(1), node), F.col("_parts")).cast("int")
     rows = rows.withColumn("_part", part).withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    return rows.select(F.xxhash64("file", F.least("_part", "_with"), F.greatest("_part", "_with")).alias("group"), "fp")
+    group = F.xxhash64("file", F.least("_part", "_with"), F.greatest("_part", "_with")).alias("group")
+    return rows.select(group, *[c for c in rows.columns if c != "file" and not c.startswith("_")])
+
+
+def agreeing(count: int, radius: int) -> int:
+    """How many blocks a file's fingerprints share: two, or as many as keep files of chance meetings below ``FILE_ROWS``."""
+    found = 2
+    while found < 6 and count >> BITS * found // (radius + found) > FILE_ROWS:
+        found += 1
+    return found
+
+
+def filed(distinct: DataFrame, radius: int, file_rows: int = FILE_ROWS, agree: int = 2) -> DataFrame:
+    """(group, fp): every fingerprint under each ``agree`` of its blocks of bits, large files by pairs of parts."""
+    blocks = radius + agree
+    edges = [BITS * i // blocks for i in range(blocks + 1)]
+    piece = [
+        F.shiftrightunsigned(F.col("fp"), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:])
+    ]
+    keys = F.array(*[F.xxhash64(F.lit(n), *[piece[i] for i in some]) for n, some in enumerate(combinations(range(blocks), agree))])
+    return parted(distinct.select("fp", F.explode(keys).alias("file")), "fp", file_rows)
 
 
 def link(distinct: DataFrame, *, radius: int = RADIUS) -> DataFrame:
     """Links (a, b) between distinct fingerprints ``fp``, whose components are those of all pairs within ``radius``."""
-    groups = filed(distinct, radius).repartition("group").sortWithinPartitions("group", "fp")
+    agree = agreeing(distinct.count(), radius)
+    groups = filed(distinct, radius, agree=agree).repartition("group").sortWithinPartitions("group", "fp")
     return groups.mapInArrow(compare(radius), "a long, b long").distinct()
 
 
-def candidates(distinct: DataFrame, *, radius: int) -> DataFrame:
-    """All pairs (a, b, tree) of fingerprints within ``radius``; those of ``tree`` hold together what all do."""
-    groups = filed(distinct, radius).repartition("group").sortWithinPartitions("group", "fp")
-    found = groups.mapInArrow(compare(radius, every=True), "a long, b long, tree boolean")
-    return found.groupBy("a", "b").agg(F.max("tree").alias("tree"))
-
-
 def near_components(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", words: int = 4, radius: int = RADIUS) -> DataFrame:
     """(``ident``, fingerprint, component_id) of every row.
 
@@ -240,76 +257,3 @@ def near_components(docs: DataFrame, *, ident: str = "doc_id", text: str = "text
     heads = classes.groupBy("component").agg(F.min("_least").alias("component_id"))
     heads = classes.join(heads, "component").select("fp", "component_id")
     return rows.join(heads, "fp").select(ident, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def shingle_set(text: bytes, words: int) -> set[bytes]:
-    found = text.lower().split()
-    return {b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
-
-
-def _similar(words: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (link, h, text), sorted by link, to the links (a, b) whose two texts have that overlap of shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        link, ends = None, {}
-        for batch in batches:
-            kept = []
-            for at, h, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != link:
-                    link, ends = at, {}
-                ends[h] = shingle_set(text, words)
-                if len(ends) == 2:
-                    (p, x), (q, y) = ends.items()
-                    if len(x & y) >= least * len(x | y):
-                        kept.append((p, q))
-                    ends[None] = set()  # the link is judged; a repeated row adds nothing
-            a, b = zip(*kept) if kept else ([], [])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return run
-
-
-def verified_components(
-    docs: DataFrame, *, ident: str = "doc_id", text: str = "text", words: int = 2, radius: int = 7, shingle: int = 5, similarity: float = 0.8
-) -> DataFrame:
-    """(``ident``, component_id) of every row, where a link is a near pair of texts and not of fingerprints alone.
-
-    Distinct texts whose fingerprints on ``words``-word shingles are within ``radius``, or equal,
-    are candidates; those that share ``similarity`` of their ``shingle``-word shingles (Jaccard)
-    are links. Enough candidates to hold together all are verified first, then every other one
-    whose ends the links found so far leave apart. Nulls, repeated rows and empty tables as in
-    ``near_components``.
-    """
-    body = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    keyed = docs.select(F.struct(F.col(ident).alias("id"), F.xxhash64(body).alias("h")).alias("_row"), F.col(text).alias("_body"))
-    rows = fingerprints(keyed, ident="_row", text="_body", words=words)
-    rows = checkpoint(rows.select(F.col("_row.id").alias(ident), F.col("_row.h").alias("h"), "fp"))
-    least = checkpoint(rows.groupBy("fp", "h").agg(F.min(ident).alias("_least")))
-    heads = checkpoint(least.groupBy("fp").agg(F.min("h").alias("head"), F.count(F.lit(1)).alias("n")))
-    near = checkpoint(candidates(heads.select("fp"), radius=radius))
-    texts = docs.select(F.xxhash64(body).alias("h"), body.alias("text"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        ends = checkpoint(pairs.select(F.xxhash64("p", "q").alias("link"), F.explode(F.array("p", "q")).alias("h")))
-        may_link = key_filter(ends.select(F.xxhash64("h").alias("code")), "code")
-        asked = texts.where(may_link(F.xxhash64("h"))).dropDuplicates(["h"])
-        sorted_ends = ends.join(asked, "h").select("link", "h", "text").repartition("link").sortWithinPartitions("link", "h")
-        return checkpoint(sorted_ends.mapInArrow(_similar(shingle, similarity), "a long, b long"))
-
-    head = lambda c, h: heads.select(F.col("fp").alias(c), F.col("head").alias(h))
-    first = near.where("tree").join(head("a", "p"), "a").join(head("b", "q"), "b").select("p", "q")
-    several = least.join(heads.where("n > 1"), "fp")
-    first = checkpoint(first.union(several.where("h <> head").select(F.col("head").alias("p"), F.col("h").alias("q"))))
-    links = verified(first)
-
-    held = components(links)
-    nodes = least.join(held.withColumnRenamed("node", "h"), "h", "left").select("fp", "h", F.coalesce("component", "h").alias("c"))
-    side = lambda fp, h: nodes.select(F.col("fp").alias(fp), F.col("h").alias(h), F.col("c").alias(f"_{h}"))
-    across = near.join(side("a", "p"), "a").join(side("b", "q"), "b").where("_p <> _q").select("p", "q")
-    within = side("a", "p").join(side("a", "q"), "a").where("p < q and _p <> _q").select("p", "q")
-    rest = across.union(within).join(first, ["p", "q"], "left_anti")
-    linked = components(links.union(verified(rest))).withColumnRenamed("node", "h")
-    classes = least.join(linked, "h", "left").withColumn("component", F.coalesce("component", "h"))
-    lowest = classes.groupBy("component").agg(F.min("_least").alias("component_id"))
-    found = classes.join(lowest, "component").select("h", "component_id")
-    return rows.join(found, "h").select(ident, "component_id")

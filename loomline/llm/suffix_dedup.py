@@ -156,8 +156,8 @@ def suffix_order(text: bytes, first: np.ndarray, count: np.ndarray, depth: int =
         before = before[(before >= 0) & induced[before] & (data[before] > byte)]
         heads = data[before]
         turn = np.argsort(heads, kind="stable")
-        before, heads = before[turn], heads[turn]
-        for head in np.unique(heads):
+        before, heads = before[turn], heads[turn].astype(np.int64)
+        for head in heads[np.flatnonzero(np.diff(heads, prepend=-1))]:
             low, high = np.searchsorted(heads, [head, head + 1] if head < 255 else [head, 256])
             waiting[head].append(before[low:high])
     starts = np.zeros(len(data) + 1, np.int8)

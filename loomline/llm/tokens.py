@@ -24,6 +24,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending, by sorting, which for millions of numbers is far quicker than a hash table."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def _powers(count: int) -> np.ndarray:
     global _weights
     if len(_weights) < count:

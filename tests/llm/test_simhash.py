@@ -87,70 +87,31 @@ def test_large_files_are_compared_by_parts(spark):
     assert sorted(components(whole).collect()) == sorted(components(parts).collect())
 
 
-def test_verified_components_are_near_pairs(spark):
-    from loomline.llm.simhash import shingle_set, verified_components
-
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    texts = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
-    got = {r["doc_id"]: r["component_id"] for r in verified_components(docs).collect()}
-    assert set(got) == set(texts) and all(got[c] == c for c in got.values())
-    sets = {i: shingle_set(t, 5) for i, t in texts.items()}
-    near = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    assert sum(got[i] == got[j] for i, j in near) >= 0.8 * len(near)
-    linked = {x for pair in near for x in pair}
-    assert all(got[i] == i for i in sets if i not in linked)
-    awkward_rows = verified_components(awkward(spark)).collect()
-    assert len(awkward_rows) == awkward(spark).count()
-    assert verified_components(docs.limit(0)).collect() == []
-
-
-def slow_verified(rows, same_text_only):
-    """Components of all pairs of texts within seven bits that are 0.8 alike."""
-    from loomline.llm.simhash import shingle_set
-
-    found = [(i, slow_fingerprint(t, 2), t, shingle_set(t.encode(), 5)) for i, t in rows]
-    root = {i: i for i, *_ in found}
-    for i, a, t, x in found:
-        for j, b, u, y in found:
-            alike = len(x & y) >= 0.8 * len(x | y) if same_text_only or a != b else True
-            if i < j and (a ^ b).bit_count() <= 7 and alike and root[i] != root[j]:
-                low, high = sorted((root[i], root[j]))
-                root = {k: low if r == high else r for k, r in root.items()}
-    return root
-
-
-def crowded():
-    """Texts of one template: near by fingerprint, of all degrees of likeness by text."""
-    rng = np.random.default_rng(6)
-    words = [f"w{i}" for i in range(40)]
-    base = [words[i % 40] for i in range(200)]
-    rows = []
-    for k in range(60):
-        w = [*base, *(f"own{k // 2}x{i}" for i in range(50 + k // 2))]
-        for at in rng.integers(0, 200, k % 2):
-            w[at] = f"edit{k}"
-        rows.append((k, " ".join(w)))
-    return [rows[i] for i in rng.permutation(60)]
-
-
-def test_every_candidate_pair_is_verified(spark):
-    from loomline.llm.simhash import verified_components
-
-    rows = crowded()
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in verified_components(docs).collect()}
-    want = slow_verified(rows, True)
-    assert len(set(want.values())) > 1 and any(i != r for i, r in want.items())
-    assert got == want
-
+def test_long_fingerprints_match_popcounts():
+    rng = np.random.default_rng(5)
+    groups = np.sort(rng.integers(0, 5, 300))
+    base = rng.integers(0, 1 << 63, (5, 2)).astype(np.uint64)
+    values = base[groups] ^ np.uint64(1) << rng.integers(0, 64, (300, 2)).astype(np.uint64)
+    for _ in range(9):
+        values ^= np.uint64(1) << rng.integers(0, 64, (300, 2)).astype(np.uint64)
+    distance = lambda a, b: sum(int(x ^ y).bit_count() for x, y in zip(values[a], values[b]))
+    for radius in (6, 22, 31, 32):
+        i, j = near_pairs(groups, values, radius)
+        want = {(a, b) for a in range(300) for b in range(a + 1, 300) if groups[a] == groups[b] and distance(a, b) <= radius}
+        assert set(zip(i.tolist(), j.tolist())) == want
 
-def test_equal_fingerprints_are_no_proof(spark):
-    from loomline.llm.simhash import verified_components
 
-    ones = "0 " * 150
-    texts = [ones + " ".join(f"{name}{i}" for i in range(60)) for name in ("tree", "ship", "coal")]
-    assert len({slow_fingerprint(t, 2) for t in texts}) == 1
-    rows = [(1, texts[0]), (2, texts[1]), (3, texts[2]), (4, texts[1]), (5, texts[2] + " more"), (6, texts[0])]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r["doc_id"]: r["component_id"] for r in verified_components(docs).collect()}
-    assert got == {1: 1, 2: 2, 3: 3, 4: 2, 5: 3, 6: 1}
+def test_more_blocks_agree_in_larger_tables(spark):
+    from loomline.llm.components import components
+    from loomline.llm.simhash import agreeing, compare, filed
+
+    assert [agreeing(n, 4) for n in (0, 10**6, 10**9, 10**10, 10**12)] == [2, 2, 2, 3, 4]
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 62, 40)
+    rows = {int(b) for b in base} | {int(b) ^ (1 << int(i)) ^ (1 << int(j)) for b in base for i, j in rng.integers(0, 62, (6, 2))}
+    fps = spark.createDataFrame([(x,) for x in rows], "fp long")
+    found = [
+        sorted(components(filed(fps, 4, agree=k).repartition(2, "group").sortWithinPartitions("group").mapInArrow(compare(4), "a long, b long")).collect())
+        for k in (2, 3)
+    ]
+    assert found[0] == found[1] and len(found[0]) > 100
