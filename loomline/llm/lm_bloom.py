@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, fold, prepare
-from .tokens import mixed, slices, word_hashes
+from .tokens import distinct, mixed, slices, word_hashes
 
 #: Slices of the filter and of the counts.
 SLICE_BITS = 10
 SLICES = 1 << SLICE_BITS
 #: Bounds of what is broadcast: bits of the filter, and tokens of known exact count.
-MAX_FILTER_BITS = 1 << 29
+MAX_FILTER_BITS = 1 << 25
 MAX_TOKENS = 1 << 21
 #: Bits of a slice for each level of each of its n-grams, and the least; probes that suit them.
 BITS_PER_LEVEL = 12
@@ -91,10 +91,18 @@ def bigram_keys(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return mixed(mixed(before) * _BIGRAM + tokens)
 
 
-def probe_bits(keys: np.ndarray, level: int, probe: int, slice_bits: int | np.ndarray) -> np.ndarray:
-    """Bit numbers, within the slice of each key, of one probe at a level."""
-    salt = (level * int(_UNIGRAM) + probe * int(_BIGRAM)) % (1 << 64)
-    return mixed(keys + np.uint64(salt)) % np.asarray(slice_bits, np.uint64)
+_HALF, _LOW = np.uint64(32), np.uint64((1 << 32) - 1)
+
+
+def hashed(keys: np.ndarray, level: int) -> np.ndarray:
+    """What the probes of keys at a level are made of."""
+    return mixed(keys + np.uint64(level * int(_UNIGRAM) % (1 << 64)))
+
+
+def probe_bits(hashes: np.ndarray, probe: int, slice_bits: int | np.ndarray) -> np.ndarray:
+    """Bit numbers, within the slice of each key, of one probe: double hashing, scaled to the slice's size."""
+    at = (hashes >> _HALF) + np.uint64(probe) * (hashes & _LOW | np.uint64(1)) & _LOW
+    return (at * np.asarray(slice_bits, np.uint64) >> _HALF).astype(np.int64)
 
 
 def slice_of(keys: np.ndarray) -> np.ndarray:
@@ -106,21 +114,27 @@ def sent(keys: np.ndarray) -> np.ndarray:
     return (keys >> np.uint64(64 - SLICE_BITS - SENT_BITS)).astype(np.uint32)
 
 
+def codes(keys: np.ndarray) -> np.ndarray:
+    """Slice and ``sent`` of keys as one number."""
+    return keys >> np.uint64(64 - SLICE_BITS - SENT_BITS)
+
+
 def fill(keys: np.ndarray, counts: np.ndarray, slice_bits: int, probes: int) -> bytes:
-    """A slice's bits with every key at every level up to its own."""
+    """A slice's bits with every key, as sent, at every level up to its own."""
     bits = np.zeros(slice_bits, bool)
-    top, keys = levels(counts), sent(keys).astype(np.uint64)
+    top, keys = levels(counts), keys.astype(np.uint64)
     for level in range(1, int(top.max(initial=0)) + 1):
         keys = keys[top >= level]
         top = top[top >= level]
+        hashes = hashed(keys, level)
         for probe in range(probes):
-            bits[probe_bits(keys, level, probe, slice_bits)] = True
+            bits[probe_bits(hashes, probe, slice_bits)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def slice_size(counts: np.ndarray) -> int:
+def slice_size(counts: np.ndarray, bits_per_level: int = BITS_PER_LEVEL) -> int:
     """Bits of a slice that has n-grams of these counts."""
-    return max(MIN_SLICE_BITS, (BITS_PER_LEVEL * int(levels(counts).sum()) + 7) // 8 * 8)
+    return max(MIN_SLICE_BITS, (bits_per_level * int(levels(counts).sum()) + 7) // 8 * 8)
 
 
 def probed(keys: np.ndarray, bits: np.ndarray, starts: np.ndarray | int, sizes: np.ndarray | int, probes: int) -> np.ndarray:
@@ -131,9 +145,11 @@ def probed(keys: np.ndarray, bits: np.ndarray, starts: np.ndarray | int, sizes:
     for level in range(1, len(FLOORS) + 1):
         if not len(at):
             break
+        hashes = hashed(keys[at], level)
         for probe in range(probes):
-            bit = starts[at] + probe_bits(keys[at], level, probe, sizes[at]).astype(np.int64)
-            at = at[bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0]
+            bit = starts[at] + probe_bits(hashes, probe, sizes[at])
+            held = bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0
+            at, hashes = at[held], hashes[held]
         found[at] = level
     return found
 
@@ -156,11 +172,11 @@ class Filter:
     distinct: int
     starts: int
 
-    def level(self, keys: np.ndarray) -> np.ndarray:
-        """The level of each key, found by probing upwards."""
-        sizes, at = np.broadcast_to(self.slice_bits, SLICES), slice_of(keys)
+    def level(self, found: np.ndarray) -> np.ndarray:
+        """The level of each code, found by probing upwards."""
+        sizes, at = np.broadcast_to(self.slice_bits, SLICES), (found >> np.uint64(SENT_BITS)).astype(np.int64)
         starts = np.cumsum(sizes) - sizes
-        return probed(sent(keys), self.bits, starts[at], sizes[at], self.probes)
+        return probed(found & _LOW, self.bits, starts[at], sizes[at], self.probes)
 
     def exact(self, tokens: np.ndarray) -> np.ndarray:
         """Counts of sorted tokens; -1 for one that is rarer than the table goes."""
@@ -179,13 +195,14 @@ class Filter:
         The bigram's count and its history's, as the filter tells them, are smoothed towards the
         token's own share with ``PRIOR`` pseudo-counts; a bigram counts as no more than its history.
         """
-        share = MIDDLES[level(unigram_keys(tokens))]
+        share = MIDDLES[level(codes(unigram_keys(tokens)))]
         seen = tokens[at]
         before = histories(seen, sizes)
         above = np.empty(len(at))
         above[1:] = share[at][:-1]
         above[np.cumsum(sizes) - sizes] = self.starts
-        both = np.minimum(MIDDLES[level(bigram_keys(before, seen))], above)
+        pairs, back = np.unique(codes(bigram_keys(before, seen)), return_inverse=True)
+        both = np.minimum(MIDDLES[level(pairs)][back], above)
         lower = (share[at] + ALPHA) / (self.total + ALPHA * (self.distinct + 1))
         return np.log10((both + PRIOR * lower) / (above + PRIOR))
 
@@ -196,24 +213,26 @@ def _packed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of texts to (slice, kind, keys, counts, rows): distinct n-grams as packed numbers.
+    """Batches of texts to (slice, kind, keys, counts): distinct n-grams as packed numbers.
 
-    Kind 0 has tokens as they are, kind 1 bigrams as their keys. A slice of tokens goes by the
-    leading bits of its unigram keys. Bigram counts above one follow only for the keys that have them.
+    Kind 0 has tokens as they are, kind 1 what tells bigrams apart in their slice. A slice of tokens
+    goes by the leading bits of its unigram keys. Counts above one follow only for the keys that have them.
     """
     for batch in batches:
         texts = batch.column(0).to_pylist()
         if not texts:
             continue
         tokens, sizes = stream(texts)
-        pairs = bigram_keys(histories(tokens, sizes), tokens)
+        pairs = codes(bigram_keys(histories(tokens, sizes), tokens))
         columns: tuple[list, ...] = ([], [], [], [])
         for kind, grams in enumerate((tokens, pairs)):
             found, counts = _packed(grams)
-            where = slice_of(unigram_keys(found)) if kind == 0 else slice_of(found)
+            where = slice_of(unigram_keys(found)) if kind == 0 else (found >> np.uint64(SENT_BITS)).astype(np.int64)
             if kind == 0:
                 order = np.argsort(where, kind="stable")
                 found, counts, where = found[order], counts[order], where[order]
+            else:
+                found = found.astype(np.uint32)
             several = counts > 1
             ends = np.searchsorted(where, np.arange(SLICES + 1))
             for s in range(SLICES):
@@ -231,27 +250,27 @@ def count_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _merged(parts: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+def _merged(parts: list[tuple[bytes, bytes]], kind: type) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and total counts of packed parts."""
     keys, counts = [], []
     for k, c in parts:
-        k, c = np.frombuffer(k, np.uint64), np.frombuffer(c, np.uint32)
+        k, c = np.frombuffer(k, kind), np.frombuffer(c, np.uint32)
         keys.append(k)
         counts.append(np.concatenate([np.ones(len(k) - len(c), np.int64), c.astype(np.int64)]))
     if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, kind), np.zeros(0, np.int64)
     found, at = np.unique(np.concatenate(keys), return_inverse=True)
     return found, np.bincount(at, weights=np.concatenate(counts), minlength=len(found)).astype(np.int64)
 
 
-def build_slices(probes: int):
+def build_slices(probes: int, bits_per_level: int = BITS_PER_LEVEL):
     """Rows of one slice, sorted together, to its filter bits, tokens and exact counts."""
 
     def one(at: int, parts: dict[int, list]) -> tuple:
-        tokens, counts = _merged(parts.get(0, []))
-        pairs, both = _merged(parts.get(1, []))
+        tokens, counts = _merged(parts.get(0, []), np.uint64)
+        pairs, both = _merged(parts.get(1, []), np.uint32)
         grams = np.concatenate([counts, both])
-        bits = fill(np.concatenate([unigram_keys(tokens), pairs]), grams, slice_size(grams), probes)
+        bits = fill(np.concatenate([sent(unigram_keys(tokens)), pairs]), grams, slice_size(grams, bits_per_level), probes)
         order = np.argsort(tokens)
         tokens, counts = tokens[order], counts[order]
         sizes = [int((counts >= least).sum()) for least in LEAST_COUNTS]
@@ -275,14 +294,14 @@ def build_slices(probes: int):
     return run
 
 
-def learn(docs: DataFrame, text: str = "text", *, max_filter_bits: int = MAX_FILTER_BITS, max_tokens: int = MAX_TOKENS) -> tuple[Filter, DataFrame]:
+def learn(docs: DataFrame, text: str = "text", *, max_filter_bits: int = MAX_FILTER_BITS, max_tokens: int = MAX_TOKENS, bits_per_level: int = BITS_PER_LEVEL) -> tuple[Filter, DataFrame]:
     """The model of all texts of ``docs``, and the filter bits and exact counts as packed slices."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("t"))
     starts = texts.count()
     counted = texts.mapInArrow(count_batch, "slice int, kind int, keys binary, counts binary")
     built = counted.repartition("slice").sortWithinPartitions("slice").mapInArrow(
-        build_slices(PROBES),
+        build_slices(PROBES, bits_per_level),
         "slice int, bits binary, tokens binary, counts binary, distinct long, total long, sizes array<long>",
     )
     built = checkpoint(built)
@@ -302,7 +321,7 @@ def learn(docs: DataFrame, text: str = "text", *, max_filter_bits: int = MAX_FIL
     slice_bits, bits = np.full(SLICES, MIN_SLICE_BITS, np.int64), None
     if 8 * (totals["b"] or 0) <= max_filter_bits:
         parts = [bytes(MIN_SLICE_BITS // 8)] * SLICES
-        for r in built.select("slice", "bits").toLocalIterator():
+        for r in built.select("slice", "bits").collect():
             parts[r["slice"]] = bytes(r["bits"])
             slice_bits[r["slice"]] = 8 * len(r["bits"])
         bits = np.frombuffer(b"".join(parts), np.uint8)
@@ -364,10 +383,10 @@ def texts_of(sizes: list[int], data: bytes) -> list[bytes]:
 
 
 def keys_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of the n-grams of some texts as far as the filter tells them apart, ascending, and their slices."""
+    """Distinct codes of the n-grams of some texts, ascending, and their slices."""
     tokens, sizes = stream(texts)
-    keys = np.concatenate([unigram_keys(np.unique(tokens)), bigram_keys(histories(tokens, sizes), tokens)])
-    keys = np.unique(keys >> np.uint64(64 - SLICE_BITS - SENT_BITS))
+    keys = np.concatenate([unigram_keys(distinct(tokens)), bigram_keys(histories(tokens, sizes), tokens)])
+    keys = distinct(codes(keys))
     return keys, (keys >> np.uint64(SENT_BITS)).astype(np.int64)
 
 
@@ -399,7 +418,8 @@ def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if asked[0][1] < 0:
                 at, bits = s, np.frombuffer(asked.pop(0)[2], np.uint8)
             keys = np.frombuffer(b"".join(data for _, _, data in asked), np.uint32)
-            found = probed(keys, bits, 0, 8 * len(bits), PROBES) if s == at else np.zeros(len(keys), np.int64)
+            once, back = np.unique(keys, return_inverse=True)
+            found = probed(once, bits, 0, 8 * len(bits), PROBES)[back] if s == at else np.zeros(len(keys), np.int64)
             ends = np.cumsum([0, *(len(data) // 4 for _, _, data in asked)]).tolist()
             told = [found[i:j].astype(np.uint8).tobytes() for i, j in zip(ends, ends[1:])]
             chunks = pa.array([chunk for _, chunk, _ in asked], pa.int64())
@@ -428,8 +448,7 @@ def scored_by_slices(rows: DataFrame, kind: str, form: str, shared, built: DataF
             ids, held, sizes = (c.flatten() for c in chunk[:3])
             texts = texts_of(sizes.to_pylist(), chunk[3])
             keys, known = keys_of(texts)[0], np.frombuffer(b"".join(found), np.uint8)
-            shift = np.uint64(64 - SLICE_BITS - SENT_BITS)
-            return scored_slice(shared.value, ids, held, texts, lambda k: known[np.searchsorted(keys, k >> shift)])
+            return scored_slice(shared.value, ids, held, texts, lambda k: known[np.searchsorted(keys, k)])
 
         for batch in batches:
             for i, (s, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
