@@ -43,3 +43,29 @@ def test_whole_run_and_empty_table(spark, tmp_path):
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert run(spark, str(tmp_path)).collect() == []
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_the_mix_gives_every_copy_of_repeated_rows(spark):
+    from loomline.llm.mixing import mix
+
+    rows = [(1, "five words are in here", "en", "a", 1)] * 900 + [(1, "five words are in here", "fr", "a", 1)] * 100
+    rows += [(1, "five words are in here", "en", "b", 1)] * 50 + [(i, f"some other text number {i}", "en", "b", 1) for i in range(2, 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {r["source_size"]: r["n"] for r in mix(docs, whole_documents=True).groupBy("source_size").agg(F.expr("sum(taken div size)").alias("n")).collect()}
+    got = {(r["source"], r["lang"] if r["doc_id"] == 1 else ""): r["count"] for r in mix_sources(spark, docs, "").groupBy("source", "lang", F.when(F.col("doc_id") == 1, 1).alias("doc_id")).count().collect()}
+    a = got["a", "en"] + got["a", "fr"]
+    assert a == want[5000] and abs(got["a", "fr"] - a / 10) <= 2
+    assert sum(v for k, v in got.items() if k[0] == "b") == want[50 * 5 + 2998 * 5]
+
+
+def test_near_duplicate_stage_keeps_recall(spark):
+    """Of unequal near pairs at least nine tenths lose one document, and no other document goes."""
+    from test_near_texts import near
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    kept = {r["doc_id"] for r in drop_near_duplicates(spark, docs, "").collect()}
+    pairs = near(texts)
+    unequal = [p for p in pairs if texts[p[0]] != texts[p[1]]]
+    assert sum(not (i in kept and j in kept) for i, j in unequal) >= 0.9 * len(unequal)
+    assert set(texts) - kept <= {x for p in pairs for x in p}
