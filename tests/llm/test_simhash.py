@@ -115,3 +115,22 @@ def test_more_blocks_agree_in_larger_tables(spark):
         for k in (2, 3)
     ]
     assert found[0] == found[1] and len(found[0]) > 100
+
+
+def test_components_of_paths_stars_and_random_graphs(spark):
+    from loomline.llm.components import components
+
+    rng = np.random.default_rng(3)
+    edges = [(i, i + 1) for i in range(200)] + [(1000, 1001 + i) for i in range(100)] + [(5, 5), (3000, 2999), (2999, 3000)]
+    edges += [(int(a), int(b)) for a, b in 5000 + rng.integers(0, 300, (200, 2))]
+    root = {x: x for e in edges for x in e if e[0] != e[1]}
+    for _ in range(len(root)):
+        before = dict(root)
+        for x, y in edges:
+            if x != y:
+                root[x] = root[y] = min(root[x], root[y])
+        if before == root:
+            break
+    got = components(spark.createDataFrame([edges[i] for i in rng.permutation(len(edges))], "a long, b long")).collect()
+    assert {r["node"]: r["component"] for r in got} == root
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
