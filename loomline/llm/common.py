@@ -23,9 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def prepare(spark: SparkSession) -> None:
+def prepare(spark: SparkSession, batch_bytes: int = ARROW_BATCH_BYTES) -> None:
     """Bound Arrow batches by bytes, so that long texts cannot fill a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
 
 

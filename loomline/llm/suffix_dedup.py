@@ -31,10 +31,12 @@ WINDOW = 200
 GRAM = 40
 #: A text is read in parts of this many window starts.
 PART = 1 << 19
+#: Bytes of a batch of texts.
+BATCH_BYTES = 4 << 20
 #: Bytes of segments that are sorted together.
-SORT_BYTES = 1 << 20
+SORT_BYTES = 1 << 19
 #: Bytes of the different segments of one key that are sorted together; more are cut finer.
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 #: Neighbouring distances from the anchor whose windows stay together at each finer cut.
 FINER = (20, 1)
 SEPARATOR = b"\xff"
@@ -377,7 +379,7 @@ def _identity(text: Column) -> Column:
 def _removals(docs: DataFrame, ident: str, text: str, keep_text: bool) -> tuple[DataFrame, DataFrame]:
     """(_id, _key, n_bytes, sha, copies) of every row, and (_key, n_removed, ...) of the single texts that lose bytes."""
     spark = docs.sparkSession
-    prepare(spark)
+    prepare(spark, BATCH_BYTES)
     rows = docs.select(F.coalesce(F.col(ident).cast("long"), F.lit(LONG_MIN)).alias("_id"), text_bytes(text).alias("_text"))
     light = rows.select("_id", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("sha"))
     light = checkpoint(light.withColumn("_key", F.unhex(F.substring("sha", 1, 32))))
